@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from colsense.llm import byte_bpe
+from colsense.llm import byte_bpe, quality_rules
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
+    "op4_quality_rules": quality_rules.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality_rules": quality_rules.ORACLE,
+}
