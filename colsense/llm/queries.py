@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from colsense.llm import byte_bpe, exact_topk, jump_shards, quality_rules
+from colsense.llm import byte_bpe, exact_topk, jump_shards, quality_rules, simhash
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
     "op4_quality_rules": quality_rules.query,
+    "op7_simhash": simhash.query,
     "op8_jump_shards": jump_shards.query,
     "op10_exact_topk": exact_topk.query,
 }
