@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from colsense.llm import byte_bpe, exact_topk, jump_shards, quality_rules, simhash, token_files
+from colsense.llm import byte_bpe, exact_topk, jump_shards, line_crf, quality_rules, simhash, token_files
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
+    "op2_line_crf": line_crf.query,
     "op3_token_files": token_files.query,
     "op4_quality_rules": quality_rules.query,
     "op7_simhash": simhash.query,
