@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from colsense.llm import byte_bpe, exact_topk, jump_shards, line_crf, quality_rules, simhash, token_files
+from colsense.llm import byte_bpe, exact_topk, html_extract, jump_shards, line_crf, quality_rules, simhash, token_files
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_rules": quality_rules.query,
     "op7_simhash": simhash.query,
     "op8_jump_shards": jump_shards.query,
+    "op9_html_extract": html_extract.query,
     "op10_exact_topk": exact_topk.query,
 }
 
