@@ -41,7 +41,7 @@ def ssn_ok(x: Column) -> Column:
 
 
 def card_ok(x: Column) -> Column:
-    return F.luhn_check(_digits(x))
+    return F.call_function("luhn_check", _digits(x))
 
 
 def ip_ok(x: Column) -> Column:

@@ -54,8 +54,12 @@ def dictionary_hits(values: DataFrame, dictionary: DataFrame, most_words: int =
     """
     words = F.regexp_extract_all(F.lower("value"), F.lit("[a-z]+(?:['-][a-z]+)*"), F.lit(0))
     tokens = values.select(*by, "n", words.alias("words"))
-    grams = [F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))), lambda i, k=k: i + k - 1 <= F.size("words")), lambda i, k=k: F.array_join(F.slice("words", i, F.lit(k)), " ")) for k in range(1, most_words + 1)]
-    terms = tokens.select(*by, "n", F.explode(F.concat(*grams)).alias("term")).groupBy(*by, "term").agg(F.sum("n").alias("n"))
+
+    def grams(k: int) -> Column:
+        starts = F.when(F.size("words") >= k, F.sequence(F.lit(1), F.size("words") - (k - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice("words", i, F.lit(k)), " "))
+
+    terms = tokens.select(*by, "n", F.explode(F.concat(*[grams(k) for k in range(1, most_words + 1)])).alias("term")).groupBy(*by, "term").agg(F.sum("n").alias("n"))
     known = dictionary.select("type", F.lower("term").alias("term")).distinct()
     if dictionary.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         known = F.broadcast(known)
