@@ -25,10 +25,12 @@ their ids' hash; an empty table makes no files; further columns are ignored.
 from __future__ import annotations
 
 import io
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,8 @@ from pyspark.sql import functions as F
 from colsense.llm import _common
 
 SCALE_BITS, LANES, CHECK_STEPS, BLOCK_TOKENS, FILE_TOKENS = 20, 1024, 128, 1 << 18, 1 << 23
-WORDS, SEPARATOR = 400_000, "~"
+WORDS, PARTS, TOGETHER, SEPARATOR, MARKS = 300_000, 800_000, 128, "~", "#*$%&!.,;:?|<>()"
+_LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
 _LOW, _MAGIC = np.uint64(1 << 31), b"TOK1"
 _HEAD = struct.Struct("<4sIQIIQII")  # magic, documents, ids, lanes, checkpoints, words, CRC of what follows the head, CRC of the ids as u32
 
@@ -47,11 +50,13 @@ _HEAD = struct.Struct("<4sIQIIQII")  # magic, documents, ids, lanes, checkpoints
 
 
 class Tokens:
-    """The library's ids of whole texts, with a bounded memo of the ids of words.
+    """The library's ids of whole texts, with bounded memos of the ids of words.
 
     The vocabulary drops white space and never looks across it, so a text's ids
-    are those of its words.  New words are encoded together, with a word between
-    them whose one id nothing else can give; words with that character go alone.
+    are those of its words.  A word of letters and then marks gives the ids of
+    its letters, in lower case, and those of the marks.  What neither memo has
+    is encoded together, with a word between that has one id which nothing else
+    can give; words with that character go alone.
     """
 
     def __init__(self, raw: bytes):
@@ -61,42 +66,70 @@ class Tokens:
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         mark = self._ids([SEPARATOR])[0]
         self.mark = mark[0] if len(mark) == 1 else None
-        self.memo: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > WORDS:
-            self.memo = {"": b""}
-        joined = [w for w in words if SEPARATOR not in w and self.mark is not None]
-        for at in range(0, len(joined), 4096):
-            part = joined[at : at + 4096]
+    def _ask(self, words: list[str]) -> dict[str, bytes]:
+        """Return the library's ids of ``words``."""
+        out = {}
+        joined = [w for w in words if SEPARATOR not in w] if self.mark is not None else []
+        for at in range(0, len(joined), TOGETHER):
+            part = joined[at : at + TOGETHER]
             ids = np.array(self._ids([f" {SEPARATOR} ".join(part)])[0], self.kind)
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) != len(part) - 1:
                 raise ValueError("the separator isn't a token of its own")
             size, data = self.kind.itemsize, ids.tobytes()
             starts, ends = [0, *((ends + 1) * size).tolist()], [*(ends * size).tolist(), len(data)]
-            self.memo.update(zip(part, [data[a:b] for a, b in zip(starts, ends)]))
-        for word in {*words} - {*joined}:
-            self.memo[word] = np.array(self._ids([word])[0], self.kind).tobytes()
+            out.update(zip(part, [data[a:b] for a, b in zip(starts, ends)]))
+        for word in words:
+            if word not in out:
+                out[word] = np.array(self._ids([word])[0], self.kind).tobytes()
+        return out
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        """Return the ids of words that the memo lacks."""
+        known, out, open_words = self.parts, {}, []
+        for word in words:
+            letters = word.rstrip(MARKS)
+            # ASCII and Latin-1 letters are composed, and their lower case is what the vocabulary makes of them.
+            if letters.isalpha() and (letters.isascii() or _LATIN(letters)):
+                first, second = letters.lower(), word[len(letters) :]
+            else:
+                first, second = word, ""
+            a, b = known.get(first), known.get(second)
+            if a is None or b is None:
+                open_words.append((word, first, second))
+            else:
+                out[word] = a + b
+        asked = {p for _, first, second in open_words for p in (first, second) if p not in known}
+        got = self._ask(list(asked))
+        for word, first, second in open_words:
+            a, b = got.get(first), got.get(second)
+            out[word] = (known[first] if a is None else a) + (known[second] if b is None else b)
+        if len(known) + len(got) > PARTS:
+            known = self.parts = {"": b""}
+        known.update(got)
+        return out
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         # Only spaces that the vocabulary surely drops are cut at; others stay inside a "word".
-        parts = [x.replace("\n", " ").replace("\t", " ").split(" ") if x else [] for x in texts]
-        new = {w for p in parts for w in p if w not in self.memo}
-        if len(new) > WORDS // 2:  # more new words than the memo holds: text by text
-            return [b for p in parts for b in self._few([p])]
-        return self._few(parts)
-
-    def _few(self, parts: list[list[str]]) -> list[bytes]:
-        new = {w for p in parts for w in p if w not in self.memo}
-        if new:
-            if len(self.memo) + len(new) > WORDS:
-                new |= {w for p in parts for w in p}
-            self._learn(list(new - {""}))
-        return [b"".join(map(self.memo.__getitem__, p)) for p in parts]
+        split = [x.replace("\n", " ").replace("\t", " ").split(" ") if x else [] for x in texts]
+        words = list(chain.from_iterable(split))
+        found = list(map(self.words.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        if missing:
+            new = self._new(list({words[i] for i in missing}))
+            for i in missing:
+                found[i] = new[words[i]]
+            if len(self.words) + len(new) > WORDS:
+                self.words = {}  # filled again from the parts
+            self.words.update(new)
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 _TOKENS: dict[int, Tokens] = {}

@@ -21,6 +21,7 @@ def test_tokens_match_library(library, monkeypatch):
     raw = open(VOCABULARY, "rb").read()
     for words in (400_000, 6):
         monkeypatch.setattr(R, "WORDS", words)
+        monkeypatch.setattr(R, "PARTS", words)
         made = R.Tokens(raw)
         for _ in range(2):
             got = [np.frombuffer(x, made.kind).tolist() for x in made.encode(ODD)]
