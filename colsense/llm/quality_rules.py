@@ -158,14 +158,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filtered(docs: DataFrame) -> DataFrame:
     """Return the kept documents with failing lines removed; ``n_chars``, if there, follows the new text."""
-    judged = evaluate(docs.withColumn("__text", F.col("text")), "__text", ("kept", "cleaned"))
-    clash = [c for c in docs.columns if c.lower() in ("kept", "cleaned")]
-    if clash:
-        raise ValueError(f"columns {clash} are taken by the result")
-    judged = judged.filter("kept").withColumn("text", F.col("cleaned"))
-    if "n_chars" in docs.columns:
-        judged = judged.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return judged.select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # by place, as a column may bear any name of the result
+    text, size = f"c{names.index('text')}", f"c{names.index('n_chars')}" if "n_chars" in names else None
+    judged = evaluate(plain.withColumn("source", F.col(text)), "source", ("kept", "cleaned")).filter("kept")
+    judged = judged.withColumn(text, F.col("cleaned"))
+    if size:
+        judged = judged.withColumn(size, F.char_length("cleaned").cast(plain.schema[size].dataType))
+    return judged.select(*plain.columns).toDF(*names)
 
 
 _W = r"[^\x20\x09-\x0D]+"

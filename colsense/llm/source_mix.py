@@ -183,10 +183,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sample(docs: DataFrame) -> DataFrame:
     """Return the sampled rows of ``docs``, with its columns."""
-    made = marked(docs, "__topic", "__n")
-    found = mixed(made.withColumns({"__s": F.col("source"), "__l": F.col("lang")}), ("__s", "__l", "__topic"), "__n")
-    if any(c.lower() in ("weight", "probability", "sampled") for c in docs.columns):
-        raise ValueError("weight, probability and sampled are taken by the result")
-    return found.filter("sampled").select(*docs.columns)
-
-
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # by place, as a column may bear any name of the result
+    source, lang, key, text = (f"c{names.index(c)}" for c in ("source", "lang", "doc_id", "text"))
+    made = marked(plain, "__topic", "__n", text)
+    found = mixed(made, (source, lang, "__topic"), "__n", key)
+    return found.filter("sampled").select(*plain.columns).toDF(*names)

@@ -58,7 +58,7 @@ def test_query_matches_sql(spark, tmp_path):
 
 
 def test_filter_keeps_columns(spark):
-    docs = spark.createDataFrame([(1, CASES["notice"], "x", 1), (2, None, None, None)], "doc_id long, text string, lost_chars string, n_chars long")
+    docs = spark.createDataFrame([(1, CASES["notice"], "x", 1), (2, None, None, None)], "doc_id long, text string, Kept string, n_chars long")
     row = Q.filtered(docs).collect()
     assert [tuple(r) for r in row] == [(1, CASES["notice"].split("\n")[1], "x", len(CASES["notice"].split("\n")[1]))]
     assert Q.filtered(docs.limit(0)).columns == docs.columns

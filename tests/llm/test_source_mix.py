@@ -78,7 +78,7 @@ def test_sample_has_shares(spark):
 def test_odd_rows(spark):
     texts = [None, "", " \n", "short one", "Longer words stand here, LONGER words indeed", "word " * 40_000 + "lengthy " * 3]
     rows = [(i, "s", None, t) for i, t in enumerate(texts)] + [(None, None, "en", texts[4]), (4, "s", None, texts[4])]
-    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").withColumn("TOPIC", F.lit("clash"))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").withColumn("TOPIC", F.lit("clash")).withColumn("sampled", F.lit("clash"))
     got = M.marked(docs).collect()
     assert sorted((r.topic, r.n_tokens) for r in got) == sorted(plain_topic(r[3]) for r in rows)
     kept = M.sample(docs)
