@@ -38,16 +38,16 @@ PATHS, WORDS, PATH_SIZE, WORD_SIZE, HIDDEN, MEASURES = 2048, 2048, 16, 8, 24, 8
 
 # Training pages
 
-_MAIN = (("article", "article", "article", "main", "div", "section", "div"), ("article", "content", "post", "entry content", "article body", "story", "main content", "post content", "page content", "text", "body text", "prose"))
+_MAIN = (("article", "article", "article", "main", "div", "section", "div"), ("article", "content", "post", "entry content", "article body", "story", "main content", "post content", "page content", "text", "body text", "prose", "main", "blog post"))
 _NOISE = {
-    "nav": (("nav", "nav", "div", "ul"), ("nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "tabs", "links", "main menu")),
-    "header": (("header", "header", "div"), ("header", "masthead", "site header", "branding", "top bar", "logo")),
-    "footer": (("footer", "footer", "div"), ("footer", "site footer", "copyright", "legal", "colophon", "bottom")),
-    "aside": (("aside", "aside", "div", "section"), ("sidebar", "side", "widget", "related", "recommended", "more stories", "rail", "popular", "tags", "toc", "trending", "author bio")),
+    "nav": (("nav", "nav", "div", "ul"), ("nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "tabs", "links", "main menu", "navigation")),
+    "header": (("header", "header", "div"), ("header", "masthead", "site header", "branding", "top bar", "logo", "banner")),
+    "footer": (("footer", "footer", "div"), ("footer", "site footer", "copyright", "legal", "colophon", "bottom", "contentinfo")),
+    "aside": (("aside", "aside", "div", "section"), ("sidebar", "side", "widget", "related", "recommended", "more stories", "rail", "popular", "tags", "toc", "trending", "author bio", "complementary")),
     "notice": (("div", "section", "p", "dialog"), ("notice", "cookie", "cookie banner", "cookie notice", "consent", "gdpr", "alert", "banner", "popup", "modal", "newsletter", "paywall", "disclaimer", "message")),
     "ad": (("div", "ins", "aside", "section", "p", "div"), ("ad", "ads", "advert", "advertisement", "sponsored", "promo", "promotion", "sponsor", "adsense", "ad slot")),
-    "form": (("form", "form", "div"), ("form", "search", "subscribe", "login", "signup", "contact form", "comment form", "search form")),
-    "comments": (("div", "section", "ol", "ul"), ("comments", "comment list", "responses", "discussion", "replies", "reader comments", "user comments", "comment thread", "comment section")),
+    "form": (("form", "form", "div"), ("form", "search", "subscribe", "login", "signup", "contact form", "comment form", "search form", "form")),
+    "comments": (("div", "section", "ol", "ul"), ("comments", "comment list", "responses", "discussion", "replies", "reader comments", "user comments", "comment thread", "comment section", "comments area")),
     "share": (("div", "ul"), ("share", "social", "sharing", "share buttons", "social links")),
 }
 _SAID = {
@@ -111,13 +111,15 @@ class _Page:
             return
         if kind in ("nav", "share", "aside") and rng.random() < 0.7:
             wrap = tag not in ("ul", "ol")
+            if wrap and rng.random() < 0.4:
+                self.block(rng.choice(("h2", "h3", "h4", "div")), said() if rng.random() < 0.6 else self.sentence(1, 4), 0)
             self.out.append("<ul>" * wrap)
             for _ in range(rng.randint(2, 7)):
                 self.block("li", said() if rng.random() < 0.4 else self.sentence(1, 3), 0, "<a href='/a'>%s</a>")
             self.out.append("</li></ul>" if wrap else "")
         elif kind == "comments":
             if rng.random() < 0.5 and tag not in ("ol", "ul"):
-                self.block("h3", said(), 0)
+                self.block(rng.choice(("h2", "h3", "h4", "p")), rng.choice((said(), f"{rng.randint(1, 99)} {said()}", self.sentence(1, 4))), 0)
             for _ in range(rng.randint(1, 5)):
                 own = rng.choice(("li", "div", "article")) if tag not in ("ol", "ul") else "li"
                 self.out.append(f"<{own}{self.named(rng.choice(('comment', 'comment body', 'reply', 'comment item')))}>")
@@ -136,7 +138,7 @@ class _Page:
             self.out.append(html.escape(text, quote=False))
         else:
             for _ in range(rng.randint(1, 3)):
-                self.block(rng.choice(("p", "div", "p", "h3")), rng.choice((said(), self.sentence(3, 16), self.prose(2))), 0)
+                self.block(rng.choice(("p", "div", "p", "h2", "h3", "h4")), rng.choice((said(), self.sentence(3, 16), self.prose(2))), 0)
         self.out.append(f"</{tag}>")
 
     def body(self, depth: int = 0) -> None:
