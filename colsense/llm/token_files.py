@@ -230,6 +230,18 @@ class Coder:
         return out
 
 
+_CODERS: dict[int, Coder] = {}
+
+
+def coder_of(freq: np.ndarray) -> Coder:
+    """Return the worker's coder for this table."""
+    key = zlib.crc32(freq.astype("<u4").tobytes())
+    if key not in _CODERS:
+        _CODERS.clear()
+        _CODERS[key] = Coder(freq)
+    return _CODERS[key]
+
+
 # Blocks and files
 
 
@@ -288,6 +300,9 @@ def _blocks(rows: Iterable[tuple[int | None, bytes]], kind: np.dtype) -> Iterato
         yield keys, [len(p) // kind.itemsize for p in parts], np.frombuffer(b"".join(parts), kind)
 
 
+_STAGED = "doc_id bigint, n bigint, ids binary, counts binary"
+
+
 def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2) -> None:
     """Tokenise ``docs`` (doc_id long, text) by the library's file ``vocabulary`` and write files to ``folder``."""
     spark = docs.sparkSession
@@ -300,22 +315,26 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2) -> Non
 
     def encode(batch: pa.RecordBatch) -> dict:
         ids = [x + end for x in tokens(shared.value).encode(batch.column(1).to_pylist())]
-        return {"doc_id": batch.column(0), "n": [len(x) // kind.itemsize for x in ids], "ids": ids}
+        total = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=size)
+        seen = np.flatnonzero(total)  # the batch's counts go with its first row, so that no other pass need count ids
+        counts = np.stack([seen, total[seen]]).astype("<u4").tobytes()
+        return {"doc_id": batch.column(0), "n": [len(x) // kind.itemsize for x in ids], "ids": ids, "counts": [counts] + [None] * (len(ids) - 1)}
 
     staged = f"{folder}/staged"
-    _common.map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), encode, "doc_id bigint, n bigint, ids binary").write.option("compression", "zstd").parquet(staged)
-    made = spark.read.schema("doc_id bigint, n bigint, ids binary").parquet(staged)
+    _common.map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), encode, _STAGED).write.option("compression", "zstd").parquet(staged)
+    made = spark.read.schema(_STAGED).parquet(staged)
 
     def count(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, kind), minlength=size)
+                ids, counted = np.frombuffer(x, "<u4").reshape(2, -1)
+                total[ids] += counted
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen, pa.int32()), pa.array(total[seen])], names=["id", "n"])
 
     counts = np.zeros(size, np.int64)
-    for i, n in made.select("ids").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each id of the vocabulary
+    for i, n in made.select("counts").filter("counts IS NOT NULL").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect():  # a row for each id of the vocabulary
         counts[i] = n
     freq = scaled(counts)
     files, path = _open(folder)
@@ -328,7 +347,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 2) -> Non
     def save(batches):
         from pyspark import TaskContext
 
-        coder, (store, top) = Coder(freq), _open(folder)
+        coder, (store, top) = coder_of(freq), _open(folder)
         number = TaskContext.get().partitionId()
         name = f"part-{number:06d}-{uuid.uuid4().hex}.tok"
         rows = ((k, x) for batch in batches for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
@@ -369,7 +388,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     _common.bound_batches(spark)
 
     def load(batches):
-        coder, (store, top) = Coder(freq), _open(folder)
+        coder, (store, top) = coder_of(freq), _open(folder)
         for batch in batches:
             for name, at, size, start in zip(*[c.to_pylist() for c in batch.columns]):
                 with store.open_input_file(f"{top}/{name}") as f:
@@ -384,8 +403,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 cut = [data[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist())]
                 yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(begins + start, pa.int64()), pa.array(lengths, pa.int64()), pa.array(cut, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    blocks = max(1, manifest.count())
-    spread = placed.repartition(min(blocks, 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))), "file", "at")
+    spread = placed.repartition(min(max(1, manifest.count()), int(spark.conf.get("spark.sql.shuffle.partitions"))), "file", "at")
     return spread.mapInArrow(load, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
