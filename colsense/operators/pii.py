@@ -15,7 +15,9 @@ BROADCAST_TERMS = 200_000
 def with_spans(df: DataFrame, value: str = "value", name: str = "spans", any_case: bool = False) -> DataFrame:
     """Add the spans of column ``value``; the raw spans are materialised once, then freed of overlaps."""
     text = F.lower(trimmed(F.col(value))) if any_case else F.col(value)
-    return df.withColumn("__raw", all_spans(text, any_case)).withColumn(name, without_overlaps(F.col("__raw"))).drop("__raw")
+    # An expression that isn't deterministic is neither copied nor pushed, so every text is searched once.
+    raw = F.when(F.monotonically_increasing_id() >= 0, all_spans(text, any_case))
+    return df.withColumn("__raw", raw).withColumn(name, without_overlaps(F.col("__raw"))).drop("__raw")
 
 
 def span_types(spans: Column) -> Column:

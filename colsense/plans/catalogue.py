@@ -97,7 +97,8 @@ _DIGESTS = """SELECT c_custkey AS k, unnest([md5(c_name), sha1(c_name), sha256(c
 def _digests(spark, sf_dir):
     name = F.col("c_name")
     made = [F.md5(name), F.sha1(name), F.sha2(name, 256), F.concat(F.lit("0x"), F.substring(F.sha2(name, 256), 1, 40)), F.concat(F.lit("0x"), F.sha2(name, 256)), name, F.col("c_custkey").cast("string"), F.col("c_mktsegment"), F.upper(F.md5(name)), F.concat(F.lit("bc1"), F.substring(F.sha2(name, 256), 1, 39))]
-    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.explode(F.array(*made)).alias("value"))
+    spread = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").repartition(spark.sparkContext.defaultParallelism)  # a small file would be one task
+    return spread.select(F.col("c_custkey").alias("k"), F.explode(F.array(*made)).alias("value"))
 
 
 @_query(f"SELECT k, value, {O.crypto('value')} AS kinds FROM ({_DIGESTS})")
