@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from colsense.shared import shared_root, written
+
+__all__ = ["bound_batches", "delete", "map_batches", "new_folder", "shared_root", "table", "written"]
+
 #: Rows and bytes of one Arrow batch, so that a batch of very long texts still fits a worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -17,35 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """Return the folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
-
-    Where the setting is missing, a local session gets a folder under
-    /tmp/checkpoints; on a cluster its absence is an error.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = f"file:///tmp/checkpoints/{os.getpid()}"
-    return root.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back.
-
-    This cuts the lineage: a lost executor costs a re-read, not the work before.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -61,7 +39,7 @@ def bound_batches(spark: SparkSession) -> None:
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Apply ``make`` (record batch -> column lists) to every Arrow batch of ``df``."""
     bound_batches(df.sparkSession)
-    kinds = _arrow_schema(df.sparkSession, schema)
+    kinds = _arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,11 +50,10 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: s
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def _arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    kinds = StructType.fromDDL(schema) if hasattr(StructType, "fromDDL") else spark.createDataFrame([], schema).schema
-    return to_arrow_schema(kinds)
+    return to_arrow_schema(StructType.fromDDL(schema))
 
 
