@@ -258,7 +258,12 @@ def first_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     Of different texts with that id in one group, the one of the smallest digest
     stays; rows that repeat id and text count once.
     """
-    heads = grouped(docs.select("doc_id", "text"), shingle, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return heads_of(docs, grouped(docs.select("doc_id", "text"), shingle, radius))
+
+
+def heads_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Return one document of each of ``groups`` (doc_id, digest, root, component_id), as ``first_of_each`` says."""
+    heads = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     heads = heads.groupBy("root").agg(F.min(F.struct("digest", "doc_id")).alias("head")).select(F.col("head.doc_id").alias("__id"), F.col("head.digest").alias("__digest"))
     kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__digest")), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
