@@ -129,16 +129,31 @@ def align(template: list[int], words: list[int], offset: int, band: int) -> tupl
     return matched, start, end
 
 
-def _clusters(hits: list[tuple[int, int]], band: int, length: int) -> list[int]:
-    """Return a diagonal for each group of hits that one alignment within ``band`` can hold."""
-    out, group = [], []
-    for diagonal, place in sorted(hits):
-        if group and diagonal - group[0] > band:
-            out.append(group[len(group) // 2])
-            group = []
-        group.append(diagonal)
-    if group:
-        out.append(group[len(group) // 2])
+def _clusters(hits: list[tuple[int, int]], band: int) -> list[list[tuple[int, int]]]:
+    """Return groups of hits (diagonal, place) whose diagonals one alignment within ``band`` can hold."""
+    out: list[list[tuple[int, int]]] = []
+    for hit in sorted(hits):
+        if not out or hit[0] - out[-1][0][0] > band:
+            out.append([])
+        out[-1].append(hit)
+    return out
+
+
+def _copies(template: list[int], words: list[int], group: list[tuple[int, int]], band: int, gram: int) -> list[tuple[int, int, int]]:
+    """Return (matched words, start, end) of every match around a group of hits: what is outside a match is aligned again."""
+    out, todo = [], [(0, len(words), group)]
+    while todo:
+        low, high, own = todo.pop()
+        diagonal = own[len(own) // 2][0]
+        low_at, high_at = max(low, diagonal - band), min(high, diagonal + len(template) + band)
+        matched, start, end = align(template, words[low_at:high_at], diagonal - low_at, band)
+        if matched < COVERAGE * len(template):
+            continue
+        start, end = start + low_at, end + low_at
+        out.append((matched, start, end))
+        for a, b, rest in ((low, start, [h for h in own if h[1] + gram <= start]), (end, high, [h for h in own if h[1] >= end])):
+            if rest:
+                todo.append((a, b, rest))
     return out
 
 
@@ -155,11 +170,9 @@ def matches(index: Index, text: str | None) -> list[dict]:
     for t, own in hits.items():
         template = index.words[t].tolist()
         band = max(BAND, len(template) // 8)
-        for diagonal in _clusters(own, band, len(template)):
-            low_at, high_at = max(0, diagonal - band), min(len(words), diagonal + len(template) + band)
-            matched, start, end = align(template, words[low_at:high_at], diagonal - low_at, band)
-            if matched >= COVERAGE * len(template):
-                found.append((-matched, -matched / len(template), t, start + low_at, end + low_at))
+        for group in _clusters(own, band):
+            for matched, start, end in _copies(template, words, group, band, GRAM):
+                found.append((-matched, -matched / len(template), t, start, end))
     taken: list[tuple] = []
     for one in sorted(found):
         if all(one[4] <= a or one[3] >= b for *_, a, b in taken):

@@ -89,3 +89,15 @@ def test_table_lines(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
     for r in L.query(spark, sf).collect():
         assert r.licences == sorted({lines[x] for x in lines if x in docs[r.doc_id]}), r.doc_id
+
+
+def test_copies_back_to_back():
+    index = L.index_of()
+    for name, _, line in L.TEMPLATES:
+        if len(re.findall(r"\w+", line)) > 25:
+            continue
+        for n in (2, 3, 4, 10):
+            for gap in ("\n", " zor1\n", " zor1 zor2 "):
+                text = gap.join([line] * n)
+                got = [m for m in L.matches(index, text) if m["template"] == name]
+                assert len(got) == n and all(m["coverage"] == 1 for m in got), (name, n, gap)
