@@ -4,7 +4,9 @@ Templates and texts become sequences of lower-case words.  Of every ``GRAM``
 words in a row a hash is taken; of every ``WINDOW`` hashes in a row the
 smallest is a fingerprint, so a run of ``GRAM + WINDOW - 1`` equal words always
 shares one.  An inverted index gives, for a text's fingerprints, the templates
-and diagonals where they stand.  Around each cluster of diagonals a local
+and diagonals where they stand.  An edited template of at most ``SHORT`` words
+may have no such run: there every equal word is a hit, if the text, and then
+the group of diagonals, holds enough of the template's words.  Around each cluster of diagonals a local
 alignment within a band counts the template's words that stand in the text in
 order; a match covers at least ``COVERAGE`` of the template.  Of matches that
 overlap the better one stays.
@@ -22,6 +24,7 @@ names (any case).
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from functools import lru_cache
 
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 from colsense.llm import _common
 from colsense.llm.license_texts import TEMPLATES
 
-GRAM, WINDOW, COVERAGE, BAND = 3, 3, 0.8, 8
+GRAM, WINDOW, COVERAGE, BAND, SHORT = 3, 3, 0.8, 8, 60
 _WORD = re.compile(r"\w+")
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -75,14 +78,24 @@ class Index:
             for at, gram in zip(*(x.tolist() for x in fingerprints(own))):
                 self.places[gram].append((t, at))
         self.known = np.array(sorted(self.places), np.uint64)
+        self.short = [t for t, own in enumerate(self.words) if len(own) <= SHORT]
+        self.counts = np.array([np.bincount(self.words[t], minlength=len(self.numbers) + 1) for t in self.short]).reshape(len(self.short), len(self.numbers) + 1)
+        self.least = np.array([COVERAGE * len(self.words[t]) for t in self.short])
 
     def hits(self, words: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Return template -> (diagonal, place in the text) of each shared fingerprint."""
+        """Return template -> (diagonal, place in the text) of each shared fingerprint, or of each shared word if it is short."""
         places, grams = fingerprints(words)
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i in np.flatnonzero(np.isin(grams, self.known)).tolist():
             for t, at in self.places[int(grams[i])]:
-                out[t].append((int(places[i]) - at, int(places[i])))
+                if len(self.words[t]) > SHORT:
+                    out[t].append((int(places[i]) - at, int(places[i])))
+        # A match needs its share of the template's words, so a text with fewer has none.
+        enough = np.minimum(self.counts, np.bincount(words, minlength=self.counts.shape[1])).sum(axis=1) >= self.least
+        for k in np.flatnonzero(enough & (self.least > 0)).tolist():
+            own = self.words[self.short[k]]
+            for at, word in enumerate(own.tolist()):
+                out[self.short[k]].extend((place - at, place) for place in np.flatnonzero(words == word).tolist())
         return out
 
 
@@ -139,6 +152,18 @@ def _clusters(hits: list[tuple[int, int]], band: int) -> list[list[tuple[int, in
     return out
 
 
+def _crowded(hits: list[tuple[int, int]], groups: list[list[tuple[int, int]]], band: int, least: float) -> list[list[tuple[int, int]]]:
+    """Return the groups around which hits within ``band`` stand for at least ``least`` words of the template."""
+    ordered = sorted(hits)
+    diagonals = [d for d, _ in ordered]
+    out = []
+    for group in groups:
+        near = ordered[bisect_left(diagonals, group[0][0] - band) : bisect_right(diagonals, group[-1][0] + band)]
+        if len({place - d for d, place in near}) >= least:
+            out.append(group)
+    return out
+
+
 def _copies(template: list[int], words: list[int], group: list[tuple[int, int]], band: int, gram: int) -> list[tuple[int, int, int]]:
     """Return (matched words, start, end) of every match around a group of hits: what is outside a match is aligned again."""
     out, todo = [], [(0, len(words), group)]
@@ -170,8 +195,12 @@ def matches(index: Index, text: str | None) -> list[dict]:
     for t, own in hits.items():
         template = index.words[t].tolist()
         band = max(BAND, len(template) // 8)
-        for group in _clusters(own, band):
-            for matched, start, end in _copies(template, words, group, band, GRAM):
+        short = len(template) <= SHORT
+        groups = _clusters(own, band)
+        if short:
+            groups = _crowded(own, groups, band, COVERAGE * len(template))
+        for group in groups:
+            for matched, start, end in _copies(template, words, group, 2 * band if short else band, 1 if short else GRAM):
                 found.append((-matched, -matched / len(template), t, start, end))
     taken: list[tuple] = []
     for one in sorted(found):

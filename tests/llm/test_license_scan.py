@@ -101,3 +101,26 @@ def test_copies_back_to_back():
                 text = gap.join([line] * n)
                 got = [m for m in L.matches(index, text) if m["template"] == name]
                 assert len(got) == n and all(m["coverage"] == 1 for m in got), (name, n, gap)
+
+
+def test_short_templates_with_one_edit():
+    """Every one-word substitution, deletion and insertion of a short template gives what full alignment gives."""
+    index = L.index_of()
+    around = "zor1 zor2 the zor3 of this work zor4 ".split()
+    for name, _, line in L.TEMPLATES:
+        own = re.findall(r"\w+", line)
+        if len(own) > 25:
+            continue
+        for at in range(len(own)):
+            for new in ([], ["zor9"], [own[at], "zor9"]):
+                text = " ".join(around + own[:at] + new + own[at + 1 :] + around)
+                full = every_alignment(text)
+                got = {m["template"]: round(m["coverage"] * len(index.words[[t[0] for t in L.TEMPLATES].index(m["template"])])) for m in L.matches(index, text)}
+                assert bool(got) == bool(full) and set(got) <= set(full), (name, text, full, got)
+                if full:
+                    assert max(got.values()) == max(full.values()), (name, text, full, got)
+
+
+def test_short_copies_with_edits_between_each_word():
+    text = "zor1 Released zor2 under zor3 the MIT zor4 License. Released under MIT License. Released under the MIT License"
+    assert [m["template"] for m in L.matches(L.index_of(), text)] == ["mit-line"] * 3
