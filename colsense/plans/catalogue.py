@@ -284,6 +284,28 @@ def pii_ratio(spark, sf_dir):
     return P.ratios(distinct_values(rows))
 
 
+_TEXTS = {"documents": ("doc_id", ["text"]), "pages": ("page_id", ["url", "html"])}
+
+
+def _texts_sql(any_case: bool) -> str:
+    """Return SQL for (column_name, type, n_spans, size) of the texts of the tables, column by column."""
+    value = f"lower({O.trim('{c}')})" if any_case else "{c}"
+    parts = [(t, c, O.spans(f"SELECT {key} AS id, {value.format(c=c)} AS t FROM {t} WHERE {c} IS NOT NULL", any_case=any_case)) for t, (key, columns) in _TEXTS.items() for c in columns]
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, type, count(*)::BIGINT AS n_spans, (SELECT count(*) FROM {t}) AS size FROM ({spans}) GROUP BY type" for t, c, spans in parts)
+
+
+@_query(f"SELECT column_name, type, n_spans FROM ({_texts_sql(False)})")
+def pii_frequency_tables(spark, sf_dir):
+    """``pii_frequency`` with the raw pages as well."""
+    return P.frequencies(distinct_values(_long(spark, sf_dir, _TEXTS)))
+
+
+@_query(f"SELECT column_name, type, n_spans, n_spans / size::DOUBLE AS ratio FROM ({_texts_sql(True)})")
+def pii_ratio_tables(spark, sf_dir):
+    """The ratios over whole tables; ``pii_ratio`` holds the rules against a few chosen rows."""
+    return P.ratios(distinct_values(_long(spark, sf_dir, _TEXTS)))
+
+
 _DICTIONARY = [("city", "The"), ("city", "Of The"), ("first-name", "and"), ("surname", "the of and"), ("hospital", "General Hospital"), ("county", "est en")]
 
 
