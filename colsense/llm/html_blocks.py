@@ -12,13 +12,15 @@ import html
 import re
 from dataclasses import dataclass
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<]*\Z""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*"|'[^']*'|[^\s>]*)|[^>=])*+)>|<[!?/][^>]*>|<[a-zA-Z/!?][^<]*\Z""", re.S)
 _NAME = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style title template noscript textarea iframe object svg math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+UNSEEN = frozenset("script style title template noscript textarea iframe object svg annotation annotation-xml".split())
+#: To the end of the page if not closed, as HTML reads them; of the others only the tag goes then.
+_RAW = frozenset("script style title textarea iframe template".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mfrac mi mn mo mover mrow mroot ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr input".split())
 #: What a start tag closes, if it is open inside the nearest of the second set.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -100,11 +102,11 @@ def blocks(page: str | None) -> list[Block]:
                         break
             continue
         if name in UNSEEN:
-            if name not in ("title", "textarea"):
+            if name not in ("title", "textarea", "annotation", "annotation-xml"):
                 flush()
             if not (m[3] or "").rstrip().endswith("/") or name in ("script", "style", "title"):
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                at = end.end() if end else len(page) if name in _RAW else at
             continue
         if name not in INLINE:
             flush()

@@ -86,3 +86,16 @@ def test_table_pages_exact(spark, sf):
 
     rows = H.query(spark, sf).join(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "page_id").collect()
     assert len(rows) == 250 and all(r.text == plain(r.html) and r.n_chars == len(r.text) for r in rows)
+
+
+def test_no_text_is_swallowed():
+    from colsense.llm.html_blocks import blocks
+
+    pages = {
+        "<a title=it's href=x>two</a> three.</p><p>Four.</p><p>Don't five <b>six</b>": ["two three.", "Four.", "Don't five six"],
+        "<a href=?q='x=\"y>one</a> don't</p><p title='a > b' id = \"c>d\">\"two\"": ["one don't", '"two"'],
+        "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be.": ["Let x=2 be."],
+        "<p>a<svg>no</svg><p>b": ["a", "b"],
+    } | {f"<p>a</p><{tag}><p>rest": ["a", "rest"] for tag in ("svg", "math", "object", "noscript")}
+    for page, want in pages.items():
+        assert [b.text for b in blocks(page)] == want, page
