@@ -1,4 +1,7 @@
-"""Connected components of a distributed edge list, by alternating large-star and small-star steps."""
+"""Connected components of a distributed edge list, by alternating large-star and small-star steps.
+
+The centre of a large star is a hot key; its edges are joined where they lie.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ from colsense.llm import _common
 def _small_star(edges: DataFrame) -> DataFrame:
     """Hang each node's smaller neighbours, and the node, on the smallest of them."""
     low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = _common.hot_join(edges, low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionAll(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -19,7 +22,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Hang each node's larger neighbours on its smallest neighbour, or on itself if it is smaller."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _common.hot_join(both.filter(F.col("v") > F.col("u")), low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,7 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges are allowed; no edges give no rows.  Each round is
     written to the shared folder; the rounds grow as the logarithm of the nodes.
     """
-    spark = edges.sparkSession
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter(F.col("u") != F.col("v")).distinct()
     edges, print_before = _common.written(edges, "edges"), None
     while True:
@@ -38,6 +40,5 @@ def components(edges: DataFrame) -> DataFrame:
         print_before = mark
         wide = _common.written(_large_star(edges), "edges")
         after = _common.written(_small_star(wide), "edges")
-        for old in (edges, wide):
-            _common.delete(spark, old.inputFiles()[0].rpartition("/")[0]) if old.inputFiles() else None
+        _common.discard(edges, wide)
         edges = after

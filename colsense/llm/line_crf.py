@@ -1,15 +1,18 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line with a word gets a feature vector: its own measures and those of
-the lines before and after.  A chain with the labels good and bad is fitted by
-maximum likelihood to labelled documents, whose label holds for each line; at
-scoring, forward-backward gives each line's probability of being good.  Their
-mean, weighted by line length, goes through a fitted logistic map and is the
-document's score.
+the lines before and after.  A chain with the labels good and bad is fitted to
+labelled documents whose lines' labels are latent: every line of a good
+document is good, and a bad document has a bad line, no matter which.  The
+likelihood sums over the label sequences that agree with this, so the chain
+also learns where lines of a bad document change.  At scoring, forward-backward
+gives each line's probability of being good.  Their mean, weighted by line
+length, goes through a fitted logistic map and is the document's score.
 
 Fitting uses at most ``SAMPLE`` labelled documents, those of the smallest hash
-of their id, of at most ``SAMPLE_LINES`` lines each; their features (not their
-texts) come to the driver.  Scoring covers whole texts of all rows.
+of their id, and as many different rows, of at most ``SAMPLE_LINES`` lines
+each; their features (not their texts) come to the driver.  Scoring covers
+whole texts of all rows.
 
 Defined results: a text without words (null too) counts as one line without
 any measure; without labelled documents of both kinds every score is the share
@@ -20,6 +23,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from operator import eq
 
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from colsense.llm import _common
 
-SAMPLE, SAMPLE_LINES, ROUNDS, THRESHOLD = 4000, 400, 150, 0.3
+SAMPLE, SAMPLE_LINES, ROUNDS, RIDGE, BAD_WEIGHT, THRESHOLD = 4000, 150, 700, 0.01, 4.0, 0.3
 MARKS, SEPARATORS, STOPS = "#*$%&<>=~^{}@\\_", "|»›•·", ".,;:!?"
 MEASURES = 13
 
@@ -66,8 +70,6 @@ def features(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.concatenate([rows, before, after], axis=1)
 
 
-
-
 @dataclass(frozen=True)
 class Chain:
     """Weights of the features for the label good, of the step between labels, and of the map of the mean."""
@@ -77,8 +79,15 @@ class Chain:
     slope: float = 1.0
     offset: float = 0.0
 
-    def marginals(self, made: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Return each line's probability of good, expected steps summed over all, and each document's log partition."""
+    def all_good(self, made: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Return each document's log weight of the sequence without a bad line."""
+        return np.add.reduceat(made @ self.weight, np.cumsum(counts) - counts) + (counts - 1) * self.step[1, 1]
+
+    def marginals(self, made: np.ndarray, counts: np.ndarray, steps_of: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Return each line's probability of good, expected steps summed over all, and each document's log partition.
+
+        ``steps_of`` gives, from the log partitions, a weight for each document's steps.
+        """
         unary = np.zeros((len(made), 2))
         unary[:, 1] = made @ self.weight
         order = np.argsort(-counts, kind="stable")
@@ -106,9 +115,10 @@ class Chain:
         inner[ends] = False
         at = np.flatnonzero(inner)
         each = np.repeat(total, counts)[at]
+        weight = np.repeat(steps_of(total), counts)[at] if steps_of else np.ones(len(at))
         for of in (0, 1):
             for to in (0, 1):
-                steps[of, to] = np.exp(forward[at, of] + self.step[of, to] + unary[at + 1, to] + backward[at + 1, to] - each).sum()
+                steps[of, to] = weight @ np.exp(forward[at, of] + self.step[of, to] + unary[at + 1, to] + backward[at + 1, to] - each)
         return good, steps, total
 
     def mean(self, made: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -139,21 +149,25 @@ def _logistic(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -700, 700)))
 
 
-def fit(rows: np.ndarray, counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, ridge: float = 1.0) -> Chain:
+def fit(rows: np.ndarray, counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, rounds: int = ROUNDS, ridge: float = RIDGE) -> Chain:
     """Fit a chain to documents of ``counts`` lines and the map of its mean to ``labels`` (0 or 1)."""
     if not len(labels) or labels.min() == labels.max():
         share = (labels.sum() + 0.5) / (len(labels) + 1) if len(labels) else 0.5
         return Chain(np.zeros(3 * MEASURES), np.zeros((2, 2)), 0.0, float(np.log(share / (1 - share))))
     made = features(rows, counts)
-    each = np.repeat(labels, counts).astype(float)
-    seen_steps = np.zeros((2, 2))
-    for label in (0, 1):
-        seen_steps[label, label] = (counts[labels == label] - 1).sum()
     flat, first, second = np.zeros(3 * MEASURES + 4), 0.0, 0.0
     for k in range(1, rounds + 1):  # Adam on the log likelihood
         chain = Chain(flat[:-4], flat[-4:].reshape(2, 2))
-        good, steps, _ = chain.marginals(made, counts)
-        slope = np.concatenate([made.T @ (good - each), (steps - seen_steps).ravel()]) / len(labels) + ridge * flat / len(labels)
+        best = chain.all_good(made, counts)
+
+        def pull(total: np.ndarray) -> np.ndarray:
+            """Return how strongly each document wants the sequence without a bad line: 1 if good, else -q / (1 - q), times ``BAD_WEIGHT``."""
+            return np.where(labels == 1, 1.0, -BAD_WEIGHT / np.expm1(np.maximum(total - best, 1e-6)))
+
+        good, steps, total = chain.marginals(made, counts, pull)
+        weight = pull(total)
+        steps[1, 1] -= weight @ (counts - 1)
+        slope = np.concatenate([made.T @ (np.repeat(weight, counts) * (good - 1)), steps.ravel()]) / len(labels) + ridge * flat / len(labels)
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         flat = flat - 0.1 * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
     chain = Chain(flat[:-4], flat[-4:].reshape(2, 2))
@@ -171,23 +185,29 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """Fit a chain to ``docs`` (doc_id, text) with ``labels`` (doc_id, quality), without the held-out ids."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, view: Callable[[str | None], str | None] | None = None) -> Chain:
+    """Fit a chain to ``docs`` (doc_id, text) with ``labels`` (doc_id, quality), without the held-out ids.
+
+    ``view`` makes of a text what is learned from, as texts are scored later.
+    """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so many rows at most: may be broadcast
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.xxhash64("doc_id", "text").alias("key"), "quality", "text")
+    # An id may stand in any number of rows, so the rows are bounded as well; equal rows count once.
+    few = joined.select("key").distinct().orderBy("key").limit(sample)
 
     def make(batch: pa.RecordBatch) -> dict:
-        found = [measures(x) for x in batch.column(1).to_pylist()]
+        found = [measures(x if view is None else view(x)) for x in batch.column(2).to_pylist()]
         found = [(r, s) if len(r) <= SAMPLE_LINES else ([], []) for r, s in found]
-        return {"quality": batch.column(0), "rows": [[x for line in r for x in line] for r, _ in found], "sizes": [s for _, s in found]}
-
-    got = [r for r in _common.map_batches(joined, make, "quality int, rows array<float>, sizes array<bigint>").collect() if r.sizes]
-    got.sort(key=lambda r: (r.quality, r.sizes, r.rows))  # the order of tasks doesn't matter
-    counts = np.array([len(r.sizes) for r in got], int)
-    rows = np.array([x for r in got for x in r.rows], float).reshape(-1, MEASURES)
-    return fit(rows, counts, np.array([x for r in got for x in r.sizes]), np.array([r.quality for r in got]))
+        return {"key": batch.column(0), "quality": batch.column(1), "rows": [np.array(r, np.float32).tobytes() for r, _ in found], "sizes": [np.array(s, np.int64).tobytes() for _, s in found]}
+
+    made = _common.map_batches(joined.join(F.broadcast(few), "key"), make, "key bigint, quality int, rows binary, sizes binary")
+    got = made.groupBy("key").agg(*[F.first(c).alias(c) for c in ("quality", "rows", "sizes")]).collect()
+    got = sorted((r for r in got if r.sizes), key=lambda r: r.key)  # the order of tasks doesn't matter
+    sizes = [np.frombuffer(r.sizes, np.int64) for r in got]
+    rows = np.frombuffer(b"".join(bytes(r.rows) for r in got), np.float32).astype(float).reshape(-1, MEASURES)
+    return fit(rows, np.array([len(x) for x in sizes], int), np.concatenate(sizes or [np.zeros(0, int)]), np.array([r.quality for r in got]))
 
 
 def score(docs: DataFrame, chain: Chain, text: str = "text", name: str = "score") -> DataFrame:

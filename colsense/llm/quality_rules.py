@@ -126,6 +126,11 @@ def judge(text: str | None) -> tuple:
     return n_words, chars, n_symbols, n_dup, n_repeat, removed, lost, base_failed, kept, "\n".join(good)
 
 
+def cleaned(text: str | None) -> str:
+    """Return ``text`` without its failing lines."""
+    return judge(text)[-1]
+
+
 def evaluate(df: DataFrame, text: str = "text", columns: Iterable[str] | None = None) -> DataFrame:
     """Add the columns of ``ADDED`` (or those named) to ``df``; ``cleaned`` is the text without failing lines."""
     wanted = [(i, n, t) for i, (n, t) in enumerate(ADDED) if columns is None or n in set(columns)]

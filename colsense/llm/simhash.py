@@ -50,12 +50,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
         ends = list(itertools.accumulate(map(len, words), lambda at, n: at + n + 1, initial=-1))[1:]
         starts = [0, *[e + 1 for e in ends[: len(words) - shingle]]]
         hashes = list(map(xxhash.xxh64_intdigest, map(joined.__getitem__, map(slice, starts, ends[shingle - 1 :])), itertools.repeat(SEED)))
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Return the bits that more than half of ``hashes`` (uint64) have."""
     total = np.zeros(64, np.int64)
-    made = np.array(hashes, np.uint64)
-    for at in range(0, len(made), 1 << 16):
-        part = made[at : at + (1 << 16)]
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)]
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(made), bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -78,9 +82,10 @@ def planes_of(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view(np.uint64)
 
 
-def links(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Return (i, j), i < j, of all pairs of ``values`` (uint64) that differ in at most ``radius`` bits."""
+def links(values: np.ndarray, radius: int = RADIUS, queries: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Return (i, j), i < j, of all pairs of ``values`` (uint64) that differ in at most ``radius`` bits; ``queries`` bounds i."""
     n = len(values)
+    most = n if queries is None else queries
     planes = planes_of(values)
     masks = np.where(np.unpackbits(values.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T.astype(bool), _FULL, np.uint64(0))
     width = max(1, radius.bit_length())
@@ -89,7 +94,7 @@ def links(values: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndar
     for lane in range(0, planes.shape[1], LANES):
         part = planes[:, lane : lane + LANES]
         first = lane * 64
-        rows = np.arange(min(n, first + part.shape[1] * 64))  # a query has partners only above itself
+        rows = np.arange(min(most, first + part.shape[1] * 64))  # a query has partners only above itself
         index = first + np.arange(part.shape[1] * 64)
         over = np.packbits((index[None, :] <= rows[:, None]) | (index[None, :] >= n), axis=1, bitorder="little").view(np.uint64)
         counters = [np.full(over.shape, _FULL if start >> b & 1 else 0, np.uint64) for b in range(width)]
@@ -225,25 +230,32 @@ def near_links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Return edges (u, v) of distinct fingerprints ``fp`` that have the components of all links within ``radius``."""
     spark = values.sparkSession
     _common.bound_batches(spark)
+    values = _common.written(values, "values")
     filed = values.select("fp", F.explode(F.array(*_keys(radius, agreeing(values.count(), radius)))).alias("key"))
     large = filed.groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("chunks"))
-    rows = filed.join(large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    large = _common.written(large, "large")
+    rows = _common.hot_join(filed, large, "key", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     rows = rows.withColumn("side", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select("key", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "side", "fp")
     return _forests(rows.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b"), radius)
 
 
+def _rooted(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Return the fingerprints of ``docs``, written, and (node, root) of those that aren't the smallest of their component."""
+    marked = _common.written(fingerprints(docs, shingle), "fingerprints")
+    return marked, _components.components(near_links(marked.select("fp").distinct(), radius))
+
+
 def grouped(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Return doc_id, digest, fp, root (a fingerprint of the component) and component_id of every row of ``docs`` (doc_id, text)."""
-    marked = _common.written(fingerprints(docs, shingle), "fingerprints")
-    nodes = _common.written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots_of = _components.components(near_links(nodes.select("fp"), radius))
+    marked, roots_of = _rooted(docs, shingle, radius)
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     rooted = nodes.join(roots_of.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = _common.written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "root", "component_id")
-    return marked.join(named, "fp").select("doc_id", "digest", "fp", "root", "component_id")
+    named = _common.hot_join(rooted, least, "root").select("fp", "root", "component_id")
+    return _common.hot_join(marked, named, "fp").select("doc_id", "digest", "fp", "root", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,12 +270,28 @@ def first_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS)
     Of different texts with that id in one group, the one of the smallest digest
     stays; rows that repeat id and text count once.
     """
-    return heads_of(docs, grouped(docs.select("doc_id", "text"), shingle, radius))
+    marked, roots_of = _rooted(docs.select("doc_id", "text"), shingle, radius)
+    return heads_of(docs, marked.select("doc_id", "digest", F.col("fp").alias("node")), roots_of)
 
 
-def heads_of(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Return one document of each of ``groups`` (doc_id, digest, root, component_id), as ``first_of_each`` says."""
-    heads = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    heads = heads.groupBy("root").agg(F.min(F.struct("digest", "doc_id")).alias("head")).select(F.col("head.doc_id").alias("__id"), F.col("head.digest").alias("__digest"))
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__digest")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+def heads_of(docs: DataFrame, marked: DataFrame, roots_of: DataFrame) -> DataFrame:
+    """Return one document of each group, as ``first_of_each`` says.
+
+    ``marked`` (doc_id, digest of the text, node) has a row for each of ``docs``,
+    ``roots_of`` (node, root) for each node that isn't its group's root.  Only
+    if more than ``BROADCAST_ROWS`` rows go are texts shuffled.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
+    least = marked.groupBy("node").agg(first).join(roots_of, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    heads = _common.written(least.select(F.col("first.doc_id").alias("__id"), F.col("first.digest").alias("__digest")), "heads")
+    rows = marked.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest")).agg(F.count("*").alias("__n"))
+    same = F.col("a.__id").eqNullSafe(F.col("b.__id")) & (F.col("a.__digest") == F.col("b.__digest"))
+    losers = _common.written(rows.alias("a").join(heads.alias("b"), same, "left_anti").drop("__n"), "losers")
+    repeated = _common.written(rows.filter("__n > 1").alias("a").join(heads.alias("b"), same, "left_semi").drop("__n"), "repeated")
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__digest"))
+    few = losers.count() <= _common.BROADCAST_ROWS
+    kept = docs.join(F.broadcast(losers), on, "left_anti") if few else docs.join(heads, on, "left_semi")
+    if repeated.isEmpty():
+        return kept
+    repeated = _common.small(repeated)
+    return kept.join(repeated, on, "left_anti").unionByName(kept.join(repeated, on, "left_semi").dropDuplicates(["doc_id", "text"]))

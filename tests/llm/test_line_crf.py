@@ -64,3 +64,47 @@ def test_held_out_accuracy(spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = C.query(spark, sf).filter("held_out").join(labels, "doc_id").select("predicted", "quality").collect()
     assert len(rows) > 50 and sum(r[0] == r[1] for r in rows) / len(rows) > 0.97
+
+
+def test_lines_of_a_mixed_document(spark):
+    """Good and bad lines in one document get their own labels; documents carry only one."""
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(200)]
+    good = lambda: " ".join(rng.choice(words, 9)).capitalize() + "."
+    bad = lambda: " | ".join(rng.choice(words, 7))
+    rows = [(i, "\n".join((good if i % 3 or rng.random() < 0.5 else bad)() for _ in range(8)) + ("" if i % 3 else "\n" + bad()), int(bool(i % 3))) for i in range(600)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    chain = C.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int"))
+    kinds = [1, 1, 1, 0, 0, 0, 1, 1, 0, 1]
+    made, _ = C.measures("\n".join((good if k else bad)() for k in kinds))
+    labels = chain.marginals(C.features(np.array(made), np.array([len(kinds)])), np.array([len(kinds)]))[0] >= 0.5
+    assert labels.astype(int).tolist() == kinds
+
+
+def test_gradient_of_latent_labels():
+    """The likelihood over agreeing label sequences, by enumeration, against the weights that the fit uses."""
+    rng = np.random.default_rng(3)
+    counts, labels = np.array([3, 1, 4]), np.array([1, 0, 0])
+    made = rng.normal(size=(counts.sum(), 2))
+    chain = C.Chain(rng.normal(size=2), rng.normal(size=(2, 2)))
+    total, best = chain.marginals(made, counts)[2], chain.all_good(made, counts)
+    at = 0
+    for d, n in enumerate(counts):
+        weights = {k: np.exp(sum(made[at + t] @ chain.weight for t in range(n) if k[t]) + sum(chain.step[a, b] for a, b in zip(k, k[1:]))) for k in itertools.product((0, 1), repeat=int(n))}
+        agree = weights[(1,) * n] if labels[d] else sum(w for k, w in weights.items() if 0 in k)
+        mine = best[d] - total[d] if labels[d] else np.log1p(-np.exp(best[d] - total[d]))
+        assert np.isclose(np.log(agree / sum(weights.values())), mine)
+        at += n
+
+
+def test_one_id_in_a_third_of_the_rows(spark):
+    rows = [(1, f"{CLEAN}\nNumber {i}.") for i in range(3000)] + [(i + 2, CLEAN if i % 2 else JUNK) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] + [(i + 2, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen, fit = [], C.fit
+    try:
+        C.fit = lambda rows, counts, sizes, labels: seen.append(len(counts)) or fit(rows, counts, sizes, labels)
+        assert C.train(docs, labels, sample=500).scores([CLEAN])[0] > 0.5
+    finally:
+        C.fit = fit
+    assert seen and seen[0] <= 500

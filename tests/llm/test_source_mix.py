@@ -9,12 +9,34 @@ from pyspark.sql import functions as F
 from colsense.llm import source_mix as M
 
 
-def plain_topic(text):
-    votes = [0] * M.TOPICS
+def plain_vector(text):
+    counts = [0] * M.SIZE
     for w in (text or "").split():
         if len(w) >= 5:
-            votes[zlib.crc32(w.lower().encode()) % M.TOPICS] += 1
-    return (votes.index(max(votes)) if any(votes) else -1), len((text or "").split())
+            counts[zlib.crc32(w.lower().encode()) % M.SIZE] += 1
+    n = sum(counts)
+    return [round(c**0.5 * 127 / n**0.5) for c in counts] if n else None
+
+
+def plain_topics(texts):
+    """Topic and words of each text: k-means in whole numbers, one vector at a time."""
+    vectors = [plain_vector(t) for t in texts]
+    some = [v for v in vectors if v]
+    centres = np.rint(np.random.default_rng(M.SEED).normal(size=(M.TOPICS, M.SIZE)) * 64).astype(int).tolist()
+    mean = [round(sum(v[d] for v in some) / len(some)) for d in range(M.SIZE)] if some else [0] * M.SIZE
+
+    def topic(v):
+        scores = [sum((x - m) * y for x, m, y in zip(v, mean, c)) for c in centres]
+        return scores.index(max(scores))
+
+    for _ in range(M.TOPIC_ROUNDS):
+        new = []
+        for k, c in enumerate(centres):
+            away = [sum(v[d] - mean[d] for v in some if topic(v) == k) for d in range(M.SIZE)]
+            length = sum(x * x for x in away) ** 0.5
+            new.append([round(x * (1024 / length)) for x in away] if length else c)
+        centres = new
+    return [(topic(v) if v else -1, len((t or "").split())) for v, t in zip(vectors, texts)]
 
 
 def plain_rake(rows, targets):
@@ -59,7 +81,32 @@ def test_weights(spark, targets):
         top = max(want.values())
         for r in got:
             w = want[(r.source, r.lang, r.topic)]
-            assert np.isclose(r.weight, w, rtol=1e-5) and np.isclose(r.probability, w / top, rtol=1e-5)
+            assert np.isclose(r.weight, w, rtol=1e-5) and np.isclose(r.probability, w / top, atol=2e-6)
+    again = [{(r.doc_id, r.sampled) for r in M.mixed(docs, driver_cells=cells).collect()} for cells in (M.DRIVER_CELLS, 0)]
+    assert targets or again[0] == again[1]
+
+
+def test_bound_and_budget(spark):
+    """One rare cell doesn't shrink the sample; a budget is met in expectation."""
+    rows = [(i, "rare" if i == 0 else "hot", "en", 0, 10) for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic int, n_tokens long")
+    even = {"source": {"rare": 1.0, "hot": 1.0}}
+    chance = lambda **more: {r.source: r.probability for r in M.mixed(docs, targets=even, **more).collect()}
+    free, bound, half = chance(most=1e9), chance(), chance(budget=0.5)
+    assert free["rare"] == bound["rare"] == half["rare"] == 1
+    assert np.isclose(free["hot"], 1 / 4999, atol=1e-6) and np.isclose(bound["hot"], 2500 / 4999 / M.MOST, atol=1e-6)
+    assert np.isclose(half["rare"] + half["hot"] * 4999, 2500, rtol=1e-3)
+
+
+def test_topics_group_texts(spark):
+    """Texts over different words get different topics, whatever their length and order."""
+    rng = random.Random(1)
+    pools = ["apple banana cherry grapes orange peach".split(), "engine wheel clutch piston bumper brakes".split()]
+    rows = [(i, "s", "en", " ".join(rng.choices(pools[i % 2], k=rng.randint(30, 60)))) for i in range(80)]
+    got = M.marked(spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")).collect()
+    kinds = [{r.topic for r in got if r.doc_id % 2 == k} for k in (0, 1)]
+    assert not kinds[0] & kinds[1]
+    assert sorted((r.topic, r.n_tokens) for r in got) == sorted(plain_topics([r[3] for r in rows]))
 
 
 def test_sample_has_shares(spark):
@@ -80,7 +127,7 @@ def test_odd_rows(spark):
     rows = [(i, "s", None, t) for i, t in enumerate(texts)] + [(None, None, "en", texts[4]), (4, "s", None, texts[4])]
     docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").withColumn("TOPIC", F.lit("clash")).withColumn("sampled", F.lit("clash"))
     got = M.marked(docs).collect()
-    assert sorted((r.topic, r.n_tokens) for r in got) == sorted(plain_topic(r[3]) for r in rows)
+    assert sorted((r.topic, r.n_tokens) for r in got) == sorted(plain_topics([r[3] for r in rows]))
     kept = M.sample(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} <= {r[0] for r in rows}
     assert M.sample(docs.limit(0)).count() == 0 and M.mixed(M.marked(docs.limit(0))).count() == 0
