@@ -8,9 +8,11 @@ most ``MAX_LOST_PERCENT`` of its word characters.
 
 Words are runs of anything but ASCII white space.  Line rules:
 
-* punctuation: the line has more marks (``MARKS``) than words;
+* punctuation: the line has more marks (``MARKS``) than words, or at least
+  ``LONG_LINE`` words and none of ``STOPS``;
 * navigation: at least three separators (``SEPARATORS``), at least one for
-  every three words;
+  every three words; or at least three words that are addresses (``LINKS``),
+  at least one for every three words;
 * boilerplate: it equals an earlier line of the text; or it has at most 30
   words and one of ``PHRASES`` (ASCII case ignored); or it is filler, more than
   half of its words being equal to the word before.
@@ -39,16 +41,22 @@ from colsense.llm import _common
 SYMBOLS = "#*$%&|<>"
 MARKS = "#*$%&<>!=~^{}"
 SEPARATORS = "|»›•·"
+STOPS = ".!?…。！？"
+LINKS = ("http://", "https://", "www.")
 PHRASES = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "use of cookies",
     "enable javascript", "lorem ipsum", "our newsletter", "skip to content", "back to top", "powered by", "click here", "share this", "read more",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "zum seitenanfang", "jetzt weiterlesen",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "conditions générales", "lire la suite",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "seguir leyendo",
 )
-MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT, PHRASE_WORDS = 20, 8, 30, 30, 30
+MIN_WORDS, WINDOW, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT, PHRASE_WORDS, LONG_LINE = 20, 8, 30, 30, 30, 40
 
 ADDED = (("n_words", LongType()), ("word_chars", LongType()), ("n_symbols", LongType()), ("n_dup_lines", LongType()), ("n_repeat_words", LongType()), ("n_lines_removed", LongType()), ("lost_chars", LongType()), ("base_failed", BooleanType()), ("kept", BooleanType()), ("cleaned", StringType()))
 
 _SPACES = " \t\n\v\f\r"
 _PHRASE = re.compile("|".join(map(re.escape, PHRASES)))
+_LINKS = tuple(x.encode() for x in LINKS)
 _LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,13 +98,17 @@ def word_chars(text: str) -> int:
 
 def line_fails(line: str, words: list[bytes]) -> bool:
     n_words = len(words)
-    if sum(map(line.count, MARKS)) > n_words:
+    if sum(map(line.count, MARKS)) > n_words or n_words >= LONG_LINE and not any(map(line.count, STOPS)):
         return True
     separators = sum(map(line.count, SEPARATORS))
     if separators >= 3 and 3 * separators >= n_words:
         return True
     if 2 * sum(map(eq, words, words[1:])) > n_words:
         return True
+    if 3 * line.count(".") >= n_words and n_words >= 3:  # every address has a full stop
+        links = sum(w.lower().startswith(_LINKS) for w in words)
+        if links >= 3 and 3 * links >= n_words:
+            return True
     return n_words <= PHRASE_WORDS and _PHRASE.search(line.translate(_LOWER)) is not None
 
 
@@ -180,6 +192,7 @@ def _class(chars: str) -> str:
     return "[" + re.sub(r"([\^\]\\-])", r"\\\1", chars) + "]"
 
 
+_STARTS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else re.escape(c) for c in x) for x in LINKS)
 _LEADS = ", ".join(f"lead(word, {k}) OVER o" for k in range(1, WINDOW))
 
 ORACLE = rf"""
@@ -192,8 +205,10 @@ rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {WI
 l AS (SELECT r, unnest(range(1, len(ls) + 1)) AS k, unnest(ls) AS line FROM (SELECT r, string_split(t, chr(10)) AS ls FROM d)),
 m AS (SELECT r, line, regexp_extract_all(line, '{_W}') AS ws, len(ws) AS n, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS dup,
              len(regexp_extract_all(line, '{_class(MARKS)}')) AS marks, len(regexp_extract_all(line, '{_class(SEPARATORS)}')) AS seps,
-             length(array_to_string(ws, '')) AS chars, len(list_filter(list_zip(ws, ws[2:]), lambda x: x[1] = x[2])) AS same FROM l),
+             length(array_to_string(ws, '')) AS chars, len(list_filter(list_zip(ws, ws[2:]), lambda x: x[1] = x[2])) AS same,
+             len(list_filter(ws, lambda x: regexp_matches(x, '^({_STARTS})'))) AS links FROM l),
 j AS (SELECT r, dup, chars, (dup OR marks > n OR (seps >= 3 AND 3 * seps >= n) OR 2 * same > n
+             OR (n >= {LONG_LINE} AND NOT regexp_matches(line, '{_class(STOPS)}')) OR (links >= 3 AND 3 * links >= n)
              OR (n <= {PHRASE_WORDS} AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{"|".join(PHRASES)}'))) AS bad FROM m WHERE n > 0),
 s AS (SELECT r, count(*) FILTER (WHERE dup) AS n_dup_lines, count(*) FILTER (WHERE bad) AS n_lines_removed, coalesce(sum(chars) FILTER (WHERE bad), 0)::BIGINT AS lost_chars FROM j GROUP BY r),
 f AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,

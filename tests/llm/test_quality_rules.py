@@ -31,9 +31,13 @@ CASES = {
     "repeat": "one two three four five six seven eight " * 6,
     "filler": "\n".join(" ".join([w] * 6) for w in "ab cd ef gh ij kl".split()),
     "notice": "We value you. Read our privacy policy.\n" + "A long and clean line of plain prose that says a few more things in good order for all who read it to the end.",
+    "run-on": "words that run on and on without any stop " * 1 + " ".join(f"w{i}" for i in range(45)),
+    "addresses": "\n".join(f"See HTTP://a{i}.org and https://b{i}.org/x, www.c{i}.org too {i}" for i in range(5)),
+    "few addresses": "\n".join(f"The site https://b{i}.org/x has n{i} more o{i} to p{i} say q{i} here, number {i}." for i in range(5)),
+    "imprint": "Alle Rechte vorbehalten, Nummer eins.\nLire la suite de cet article.\n" + "Ein langer Satz mit vielen guten Worten, der am Ende seinen Punkt hat, wie es sich für ihn und alle anderen gehört.",
     "odd space": "a b c d\re\x1cf " * 8,
 }
-KEPT = {"clean", "notice"}
+KEPT = {"clean", "notice", "few addresses"}
 
 
 @pytest.mark.parametrize("name", CASES)
