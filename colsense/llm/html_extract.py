@@ -14,8 +14,8 @@ around and inside them); it takes some seconds on the driver, and its weights
 
 Defined results: a null or empty page, or one without main text, gives an empty
 text; white space, also of character references, becomes one space; text after
-broken markup is kept; repeated rows are treated alike; columns beyond those
-named are ignored by the query and kept by ``extract``.
+broken markup is kept (see ``html_blocks``); repeated rows are treated alike;
+columns beyond those named are ignored by the query and kept by ``extract``.
 """
 
 from __future__ import annotations

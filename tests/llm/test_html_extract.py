@@ -1,5 +1,7 @@
 import html
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,15 +46,17 @@ def test_gradients():
 
 
 def test_held_out_pages():
+    """Main blocks missed or wrongly taken, over all generated pages, those included whose blocks the parser cuts otherwise."""
     model = H.trained()
-    wrong = total = 0
+    wrong = total = differ = 0
     for page, expected in H.training_pages(150, 77):
         found = blocks(page)
-        if found and [b.text for b in found] == [t for t, _ in expected]:
-            got = model.probabilities(H.Vectors([found])) >= 0.5
-            wrong += int((got != np.array([x == 1 for _, x in expected])).sum())
-            total += len(found)
-    assert total > 2000 and wrong / total < 0.03
+        differ += [b.text for b in found] != [t for t, _ in expected]
+        good = model.probabilities(H.Vectors([found])) >= 0.5
+        want, got = Counter(t for t, label in expected if label), Counter(b.text for b, g in zip(found, good) if g)
+        wrong += (want - got).total() + (got - want).total()
+        total += len(expected)
+    assert total > 2000 and wrong / total < 0.03 and differ < 15
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title></head><body><header><div class="logo">Daily Site</div></header>
@@ -95,7 +99,33 @@ def test_no_text_is_swallowed():
         "<a title=it's href=x>two</a> three.</p><p>Four.</p><p>Don't five <b>six</b>": ["two three.", "Four.", "Don't five six"],
         "<a href=?q='x=\"y>one</a> don't</p><p title='a > b' id = \"c>d\">\"two\"": ["one don't", '"two"'],
         "<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be.": ["Let x=2 be."],
-        "<p>a<svg>no</svg><p>b": ["a", "b"],
+        "<p>a <svg><title>no</title><path d='M1'/><text>label</text></svg> b<p>c": ["a label b", "c"],
+        "<p>one <object data=x>two</object> three</p><template><p>no</p><template>no</template>no</template><p>four": ["one two three", "four"],
+        "<p>a</p><noscript>x<noscript>y</noscript><p>b</p><noscript><p>c": ["a", "x", "y", "b", "c"],
+        "<p>x<y and more <b>here</b></p><p title=\"rest>of it</p><p>end</p>": ["x", "here", "of it", "end"],
     } | {f"<p>a</p><{tag}><p>rest": ["a", "rest"] for tag in ("svg", "math", "object", "noscript")}
     for page, want in pages.items():
         assert [b.text for b in blocks(page)] == want, page
+
+
+HOSTILE = {
+    "open tags": "<x", "end tags": "</title", "quotes": "<a '", "values": "<a x=\"", "mixed values": "<a x=\">\" y='>'", "scripts": "<script>", "titles": "<title>a</titl",
+    "templates": "<template><p>", "comments": "<!-- x", "closed comments": "<!-- x --><!-", "deep": "<div class='a b'>", "deep inline": "<i>", "odd ends": "<div></b></x>", "stars": "<li><p><td>", "spaces": "<a id =  ", "signs": "<", "drawings": "<svg><g>",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_time_grows_with_the_page(name):
+    """Twice the page takes about twice the time, at up to a megabyte."""
+
+    def seconds(size):
+        page = "<p>a</p>" + HOSTILE[name] * (size // len(HOSTILE[name])) + "<p>z</p>"
+        best = 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            blocks(page)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    small, large = seconds(250_000), seconds(1_000_000)
+    assert large < 5 and large < 7 * small + 0.1
