@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from colsense.shared import delete, new_folder, scope, shared_root, written
 
-__all__ = ["bound_batches", "delete", "map_batches", "discard", "hot_join", "new_folder", "scope", "shared_root", "table", "written"]
+__all__ = ["arrow_schema", "bound_batches", "delete", "map_batches", "discard", "hot_join", "new_folder", "scope", "shared_root", "table", "written"]
 
 #: Rows and bytes of one Arrow batch, so that a batch of very long texts still fits a worker.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -67,7 +67,7 @@ def bound_batches(spark: SparkSession) -> None:
 def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Apply ``make`` (record batch -> column lists) to every Arrow batch of ``df``."""
     bound_batches(df.sparkSession)
-    kinds = _arrow_schema(schema)
+    kinds = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -78,10 +78,8 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: s
     return df.mapInArrow(run, schema)
 
 
-def _arrow_schema(schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
-
-

@@ -56,3 +56,16 @@ def test_table(spark, sf):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     assert sorted(map(tuple, T.query(spark, sf).collect())) == sorted(con.sql(T.ORACLE).fetchall())
+
+
+def test_one_id_in_a_third_of_the_rows(spark):
+    rng = random.Random(9)
+    rows = [(50, [rng.uniform(-1, 1) for _ in range(4)]) for _ in range(100)] + [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(200) if i != 50]
+    assert run(spark, rows, block_rows=16) == brute(rows)
+
+
+def test_plan_has_no_part_for_each_block(spark):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(50 * i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(100)], "vec_id long, embedding array<double>")
+    plans = [T.search(df, df, block_rows=n)._jdf.queryExecution().optimizedPlan().toString().count("\n") for n in (100, 5)]
+    assert plans[0] == plans[1]
