@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 
 @dataclass(frozen=True)
@@ -16,5 +16,21 @@ class Config:
     types: float = 0.8
     hash_types: int = 5
     sample_size: int | None = None  # rows of each column to look at; None: all
-    block_size: int = 1000
+    block_size: int | None = None  # rows in a run to judge the index by; None: all
     seed: int = 0
+
+    @classmethod
+    def read(cls, path: str) -> Config:
+        """Return the options in a file of ``name: value`` lines; ``#`` begins a comment, what isn't named keeps its default."""
+        given = {}
+        kinds = {f.name: f.type for f in fields(cls)}
+        with open(path, encoding="utf-8") as lines:
+            for line in lines:
+                name, colon, value = line.partition("#")[0].partition(":")
+                if not name.strip():
+                    continue
+                if not colon or name.strip() not in kinds:
+                    raise ValueError(f"no such option: {line.strip()}")
+                text = value.strip()
+                given[name.strip()] = None if text in ("", "null") else float(text) if kinds[name.strip()] == "float" else int(text)
+        return cls(**given)

@@ -9,6 +9,7 @@ come from a dictionary, see ``colsense.operators.pii``.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -109,39 +110,76 @@ RULES: dict[str, Rule] = {
 }
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Return ``use`` of ``value``, which is worked out once, not anew in each lambda that reads it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _chunks(items: Column) -> Column:
+    """Cut a list into about as many parts as each has items, so that work on parts grows with n to the 1.5, not the square."""
+    size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int"))
+    return _let(size, lambda c: F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / c).cast("int") - 1), lambda i: F.slice(items, i * c + 1, c)))
+
+
+def _sum(items: Column) -> Column:
+    return F.aggregate(items, F.lit(0), lambda a, x: a + x["g"] + F.char_length(x["hit"]))
+
+
+def _placed(found: Column, gaps: Column, kind: str) -> Column:
+    """Return the spans of the matches ``found``, whose places follow from the texts between them."""
+    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda h, g: F.struct(h.alias("hit"), F.char_length(g).alias("g")))
+
+    def spans(chunks: Column) -> Column:
+        sums = F.transform(chunks, _sum)
+        return _let(sums, lambda own: F.flatten(F.transform(chunks, lambda chunk, i: _let(F.aggregate(F.slice(own, F.lit(1), i), F.lit(0), lambda a, x: a + x), lambda base: F.transform(chunk, lambda x, j: _let(base + _sum(F.slice(chunk, F.lit(1), j)) + x["g"], lambda start: F.struct(F.lit(kind).alias("type"), start.alias("start"), (start + F.char_length(x["hit"])).alias("end"), x["hit"].alias("text"))))))))
+
+    return _let(pairs, lambda bound: _let(_chunks(bound), spans))
+
+
 def matches(text: Column, kind: str, any_case: bool = False) -> Column:
     """Return the spans of one kind in ``text`` whose check holds, in order."""
     rule = RULES[kind]
     pattern = rule.pattern(any_case)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)  # what stands between the matches gives their places
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        start = s["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        return F.struct(end.alias("at"), F.array_append(s["out"], F.struct(F.lit(kind).alias("type"), start.alias("start"), end.alias("end"), x["hit"].alias("text"))).alias("out"))
-
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.greatest(F.size(found), F.lit(0))), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    spans = F.aggregate(pairs, zero, step, lambda s: s["out"])
+    spans = _placed(found, gaps, kind)
     if rule.check is not None:
         spans = F.filter(spans, lambda s: F.coalesce(rule.check(s["text"]), F.lit(False)))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPAN))
+    return F.when(text.rlike(pattern), spans.cast(SPAN)).otherwise(F.array().cast(SPAN))
+
+
+#: Kinds whose every match has a digit, and those with a mark of their own: texts without it aren't searched for them.
+_MARKS = {"email-address": "@", "currency": r"\$", "mac-address": "[:-]", "ip-address": "[.:]"} | dict.fromkeys(
+    ("credit-card", "ssn", "phone-number", "date", "tracking-number", "bank-routing-number", "drivers-license", "passport-number", "street-address", "age", "phone-number-extension", "zip-code", "iban-code", "bitcoin-address"), "[0-9]",
+)
 
 
 def all_spans(text: Column, any_case: bool = False, kinds: list[str] | None = None) -> Column:
     """Return the spans of every kind in ``text``, overlaps included; none for null or blank."""
-    return F.when(text.isNull(), F.array().cast(SPAN)).otherwise(F.concat(*[matches(text, k, any_case) for k in kinds or RULES]))
+    none = F.array().cast(SPAN)
+    parts = []
+    for mark, own in itertools.groupby(kinds or RULES, _MARKS.get):
+        spans = F.concat(*[matches(text, k, any_case) for k in own])
+        parts.append(spans if mark is None else F.when(text.rlike(mark), spans).otherwise(none))
+    return F.when(text.isNull(), none).otherwise(F.concat(*parts))
 
 
 def without_overlaps(spans: Column) -> Column:
-    """Drop each span that overlaps a better one: longer, or as long and of an earlier kind, or as long and further left."""
+    """Drop each span that overlaps a better one: longer, or as long and of an earlier kind, or as long and further left.
+
+    Spans are sorted and cut into parts, and only parts that reach a span are looked at for it.
+    """
     order = F.create_map(*[F.lit(x) for i, k in enumerate(RULES) for x in (k, i)])
     rank = lambda s: F.try_element_at(order, s["type"])
-
-    def better(t: Column, s: Column) -> Column:
+    items = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), rank(s).alias("rank"))))
+    def better(t: Column, s: Column, rank_s: Column) -> Column:
         long_t, long_s = t["end"] - t["start"], s["end"] - s["start"]
-        return (t["start"] < s["end"]) & (s["start"] < t["end"]) & ((long_t > long_s) | ((long_t == long_s) & ((rank(t) < rank(s)) | ((rank(t) == rank(s)) & (t["start"] < s["start"])))))
+        return (t["start"] < s["end"]) & (s["start"] < t["end"]) & ((long_t > long_s) | ((long_t == long_s) & ((t["rank"] < rank_s) | ((t["rank"] == rank_s) & (t["start"] < s["start"])))))
+
+    def kept(parts: Column) -> Column:
+        return F.filter(spans, lambda s: ~F.exists(parts, lambda p: (p["low"] < s["end"]) & (s["start"] < p["high"]) & F.exists(p["items"], lambda t: better(t, s, rank(s)))))
+
+    def reach(c: Column) -> Column:
+        return F.struct(F.element_at(c, 1)["start"].alias("low"), F.array_max(F.transform(c, lambda t: t["end"])).alias("high"), c.alias("items"))
 
-    kept = F.filter(spans, lambda s: ~F.exists(spans, lambda t: better(t, s)))
-    return F.when(F.size(spans) > 1, kept).otherwise(spans)
+    return F.when(F.size(spans) > 1, _let(items, lambda i: _let(F.transform(_chunks(i), reach), kept))).otherwise(spans)

@@ -26,7 +26,11 @@ def ratio(part: Column, whole_: Column) -> Column:
 
 def profile(long: DataFrame) -> DataFrame:
     """Return rows, missing rows, distinct values, and whether the column is an id: nothing missing, all unique."""
-    values = long.groupBy("column_name", "value").agg(F.count("*").alias("n"))
+    return profile_of_values(long.groupBy("column_name", "value").agg(F.count("*").alias("n")))
+
+
+def profile_of_values(values: DataFrame) -> DataFrame:
+    """Return the profile from distinct values (column_name, value, n)."""
     made = values.groupBy("column_name").agg(F.sum("n").cast("bigint").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).cast("bigint").alias("n_missing"), F.count("value").alias("n_unique"))
     return made.withColumn("is_id", (F.col("n_missing") == 0) & (F.col("n_unique") == F.col("n_rows")))
 
@@ -98,10 +102,20 @@ def most_frequent(counts: DataFrame, n: int, by: str = "column_name", item: str
     return ranked.filter(F.col("rank") <= n)
 
 
+#: A column's rows are dealt to so many parts before its sample is drawn.
+SAMPLE_PARTS = 64
+
+
 def sample_rows(long: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
-    """Return ``n`` rows of each column, those of the smallest seeded hash of their place; all if it has no more."""
-    drawn = Window.partitionBy("column_name").orderBy(F.xxhash64("pos", F.lit(seed)), "pos")
-    return long.withColumn("__at", F.row_number().over(drawn)).filter(F.col("__at") <= n).drop("__at")
+    """Return ``n`` rows of each column, those of the smallest MD5 of place and seed; all if it has no more.
+
+    Each part of a column gives its own ``n`` first, so no column is sorted in one task.
+    """
+    key = F.md5(F.concat(F.col("pos").cast("string"), F.lit(f":{seed}")).cast("binary"))
+    out = long.withColumn("__key", key).withColumn("__part", F.pmod(F.xxhash64("pos"), F.lit(SAMPLE_PARTS)))
+    for by in (("column_name", "__part"), ("column_name",)):
+        out = out.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy("__key", "pos"))).filter(F.col("__at") <= n).drop("__at")
+    return out.drop("__key", "__part")
 
 
 def contiguous_block(long: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
@@ -110,7 +124,8 @@ def contiguous_block(long: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame
     Places must run from 0 without gaps, see ``sources.tables.with_positions``.
     """
     sizes = long.groupBy("column_name").agg(F.count("*").alias("size"))
-    start = F.pmod(F.xxhash64("column_name", F.lit(seed)), F.greatest(F.col("size") - n + 1, F.lit(1)))
+    drawn = F.conv(F.substring(F.md5(F.concat("column_name", F.lit(f":{seed}")).cast("binary")), 1, 12), 16, 10).cast("bigint")
+    start = F.pmod(drawn, F.greatest(F.col("size") - n + 1, F.lit(1)))
     starts = sizes.select("column_name", F.when(F.col("size") > n, start).otherwise(0).alias("start"))
     inside = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("start") + n)
     return long.join(starts, "column_name").filter(inside & ~blank(F.col("value"))).select("column_name", "pos", "value")

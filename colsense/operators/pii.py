@@ -32,19 +32,23 @@ def primary_type(spans: Column) -> Column:
     return F.when(F.size(kinds) > 0, F.array_min(counted)["k"])
 
 
-def frequencies(values: DataFrame, any_case: bool = False, by: tuple[str, ...] = ("column_name",)) -> DataFrame:
-    """Return (by..., type, n_spans) of ``values`` (by..., value, n), each distinct value scanned once."""
+def frequencies(values: DataFrame, any_case: bool = False, by: tuple[str, ...] = ("column_name",), dictionary: DataFrame | None = None) -> DataFrame:
+    """Return (by..., type, n_spans) of ``values`` (by..., value, n), each distinct value scanned once.
+
+    With a ``dictionary`` (type, term) its kinds are counted as well, see ``dictionary_hits``.
+    """
     spans = with_spans(values, any_case=any_case).select(*by, "n", F.explode("spans").alias("s"))
-    return spans.groupBy(*by, F.col("s.type").alias("type")).agg(F.sum("n").cast("bigint").alias("n_spans"))
+    found = spans.groupBy(*by, F.col("s.type").alias("type")).agg(F.sum("n").cast("bigint").alias("n_spans"))
+    return found if dictionary is None else found.unionByName(dictionary_hits(values, dictionary, by=by))
 
 
-def ratios(values: DataFrame, by: tuple[str, ...] = ("column_name",)) -> DataFrame:
+def ratios(values: DataFrame, by: tuple[str, ...] = ("column_name",), dictionary: DataFrame | None = None) -> DataFrame:
     """Return (by..., type, n_spans, ratio); values are trimmed and lower-cased, null and blank ones count in the ratio.
 
     A column without personal data has one row of null type.
     """
     sizes = values.groupBy(*by).agg(F.sum("n").alias("size"))
-    found = frequencies(values, any_case=True, by=by)
+    found = frequencies(values, any_case=True, by=by, dictionary=dictionary)
     return sizes.join(found, list(by), "left").select(*by, "type", F.coalesce("n_spans", F.lit(0)).cast("bigint").alias("n_spans"), F.when(F.col("size") > 0, F.coalesce("n_spans", F.lit(0)) / F.col("size")).otherwise(0.0).alias("ratio"))
 
 

@@ -265,10 +265,10 @@ def pii_frequency(spark, sf_dir):
 
 
 _FIXTURE = [
-    ("test", "john@example.com"), ("test", "jane@company.org"), ("test", "noemail"), ("test", ""), ("test", "alice@test.co.uk"),
-    ("mixed", "Call 555-123-4567"), ("mixed", "SSN: 123-45-6789"), ("mixed", "0x4E5B2e1dc63F6b91cb6Cd759936495434C7e972F"), ("mixed", "normal text"), ("mixed", "credit: 4532015112830366"),
-    ("empty", ""), ("empty", " "), ("empty", None),
-    ("data", "John Doe, john.doe@email.com, 555-987-6543"), ("data", "Jane Smith, jane@work.com, DOB: 1985-03-15"), ("data", "Regular customer, no PII"), ("data", "SSN 123-45-6789"), ("data", "000-12-3456 and 123-00-4567"),
+    ("contact", "ines.k@harbour.example"), ("contact", "orders+7@kiln.example.org"), ("contact", "none given"), ("contact", ""), ("contact", "a.b_c@x-y.co.nz"),
+    ("notes", "Ring 208-555-0142"), ("notes", "SSN: 219-09-9999"), ("notes", "0x52908400098527886E0F7030069857D2E4169EE7"), ("notes", "nothing of note"), ("notes", "card: 4111111111111111"),
+    ("blank", ""), ("blank", " "), ("blank", None),
+    ("record", "Omar Vale, omar@kiln.example, 415.555.0176"), ("record", "Ida Berg, DOB: 1990-11-02, ida@kiln.example"), ("record", "Walk-in, left no details"), ("record", "SSN 078-05-1120"), ("record", "000-12-3456 and 123-00-4567"),
     ("more", "VIN 1M8GDM9AXKP042788 or 1M8GDM9AXKP042789"), ("more", "GB82WEST12345698765432, GB82WEST12345698765431"), ("more", "routing 021000021 or 021000022"), ("more", "00:1a:2B:3c:4d:5e at 10.0.0.1, 300.1.1.1"),
     ("more", "12 Main Street, Austin, TX 78701-1234"), ("more", "Dr. Jane Roe, aged 41, paid $1,250.50"), ("more", "passport no 123456789, DL: A1234567, ext 42"), ("more", "1Z999AA10123456784 on 3 March 2021, 2/30/2021, 12/31/2020"), ("more", "born in New York, 45 years old, call 1 (743) 555-3824"), ("more", "1BoatSLRHtKNngkdXEeobR76b53LETtpyT https://x.org/a?b=1"),
 ]
@@ -317,21 +317,22 @@ def pii_dictionary(spark, sf_dir):
     return P.dictionary_hits(distinct_values(to_long(_table(spark, sf_dir, "documents"), ["text"], "doc_id")), dictionary)
 
 
+@_query(f"SELECT column_name, pos, value FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY md5(pos::VARCHAR || ':0'), pos) AS r FROM ({O.long(CUSTOMER)})) WHERE r <= 1000")
 def sample_rows(spark, sf_dir):
-    """The seeded sample of 1000 rows of each column (a sampling operator; tested against brute force)."""
+    """The seeded sample of 1000 rows of each column (a sampling operator)."""
     return C.sample_rows(_long(spark, sf_dir, CUSTOMER))
 
 
+@_query(f"""WITH l AS (SELECT column_name, row_number() OVER (PARTITION BY column_name ORDER BY pos) - 1 AS pos, value FROM ({O.long(CUSTOMER)})),
+s AS (SELECT column_name, CASE WHEN count(*) > 1000 THEN ('0x' || substr(md5(column_name || ':0'), 1, 12))::BIGINT % (count(*) - 999) ELSE 0 END AS start FROM l GROUP BY column_name)
+SELECT column_name, pos::BIGINT AS pos, value FROM l JOIN s USING (column_name) WHERE pos >= start AND pos < start + 1000 AND NOT {O.blank("value")}""")
 def contiguous_block(spark, sf_dir):
-    """A seeded run of 1000 rows of each column (a sampling operator; tested against brute force)."""
+    """A seeded run of 1000 rows of each column (a sampling operator)."""
     from colsense.sources.tables import with_positions
 
     return C.contiguous_block(with_positions(_long(spark, sf_dir, CUSTOMER)))
 
 
-QUERIES |= {"sample_rows": sample_rows, "contiguous_block": contiguous_block}
-
-
 def _classify_sql() -> str:
     tables = {"customer": ("c_custkey", ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]), "conversations": ("conv_id * 1000 + turn", ["role", "text"])}
     source = O.long(tables)

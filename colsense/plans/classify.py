@@ -10,10 +10,11 @@ from colsense.functions.names import column_metadata
 from colsense.functions.types import type_of_categories
 from colsense.operators import columns as C
 from colsense.operators.pii import frequencies
-from colsense.sources.tables import column_names, distinct_values, to_long
+from colsense.shared import written
+from colsense.sources.tables import column_names, distinct_values, to_long, with_positions
 
 
-def classify_columns(df: DataFrame, order: Column | str | None = None, config: Config = Config(), columns: list[str] | None = None) -> DataFrame:
+def classify_columns(df: DataFrame, order: Column | str | None = None, config: Config = Config(), columns: list[str] | None = None, dictionary: DataFrame | None = None) -> DataFrame:
     """Return (column_name, name, categories, field_type) for each of ``columns`` (all) of ``df``.
 
     Categories: index first, then the sorted others: gender, job-title, hash
@@ -21,13 +22,15 @@ def classify_columns(df: DataFrame, order: Column | str | None = None, config: C
     hash is found, the most frequent kind of personal data.  Field type: that
     named in the column's name, else that of the categories, else of the values.
 
-    Cheap votes come first, over distinct values; only the columns that they
-    leave open are read again for personal data.
+    The distinct values are written once, and everything but the index is taken
+    from them.  Cheap votes come first; only the columns that they leave open
+    are searched for personal data, names of a ``dictionary`` (type, term)
+    included.  With ``config.block_size`` the index is judged by a run of rows.
     """
     wanted = columns or df.columns
     long = to_long(df, wanted, order)
     seen = C.sample_rows(long, config.sample_size, config.seed) if config.sample_size else long
-    values = distinct_values(seen)
+    values = written(distinct_values(seen), "values")
     tally = C.tallies(C.scored_values(values))
     voted = C.votes(tally)
     marks = voted.select(
@@ -39,12 +42,12 @@ def classify_columns(df: DataFrame, order: Column | str | None = None, config: C
     cheap = df.sparkSession.createDataFrame(
         [(r.column_name, ["gender"] * r.gender + ["job-title"] * r.job + (["hash", *sorted(r.kinds or [])] if r.hash else [])) for r in marks], "column_name string, cheap array<string>",
     )
+    rows = C.contiguous_block(with_positions(long), config.block_size, config.seed) if config.block_size else long
     names = column_names(df.select(*[F.col(f"`{c}`") for c in wanted]))
-    out = names.join(cheap, "column_name", "left").join(C.profile(seen).select("column_name", "is_id"), "column_name", "left")
-    out = out.join(C.index_confidence(long, config.index).select("column_name", "is_index"), "column_name", "left").join(C.type_from_values(values, config.types), "column_name", "left")
+    out = names.join(cheap, "column_name", "left").join(C.profile_of_values(values).select("column_name", "is_id"), "column_name", "left")
+    out = out.join(C.index_confidence(rows, config.index).select("column_name", "is_index"), "column_name", "left").join(C.type_from_values(values, config.types), "column_name", "left")
     if open_:
-        again = distinct_values(seen.filter(F.col("column_name").isin(open_)) if config.sample_size else to_long(df, open_, order))
-        top = C.most_frequent(frequencies(again), 1, count="n_spans").select("column_name", F.col("type").alias("pii"))
+        top = C.most_frequent(frequencies(values.filter(F.col("column_name").isin(open_)), dictionary=dictionary), 1, count="n_spans").select("column_name", F.col("type").alias("pii"))
         out = out.join(top, "column_name", "left")
     else:
         out = out.withColumn("pii", F.lit(None).cast("string"))

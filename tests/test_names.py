@@ -6,22 +6,21 @@ from pyspark.sql import functions as F
 from colsense.functions import names
 
 FIELDS = ["loader", "total_rows", "id_column_name", "elastic_index_name", "number_of_shards", "number_of_replicas", "case_id", "md5", "display_name", "section"]
-FULL = "data[loader=csv,total_rows=1000,id_column_name=uuid,elastic_index_name=myindex,elastic_shards=3,elastic_replicas=1,case_id=CASE123,md5=abc123,display_name=My Data,display_section=main].txt"
+FULL = "ledger[display_section=annex,md5=9e107d9d,elastic_replicas=2,loader=orc,case_id=K-77,total_rows=42,elastic_index_name=ledgers,display_name=Year End,elastic_shards=6,id_column_name=entry_no].tsv"
 FILES = {
-    "simplefile.txt": {"file_name": "simplefile.txt"},
-    FULL: dict(zip(["file_name", *FIELDS], ["data.txt", "csv", "1000", "uuid", "myindex", 3, 1, "CASE123", "abc123", "My Data", "main"])),
-    "data[LOADER=parquet,TOTAL_ROWS=500].txt": {"file_name": "data.txt", "loader": "parquet", "total_rows": "500"},
-    "data[ loader = csv , total_rows = 1000 ].txt": {"file_name": "data.txt", "loader": "csv", "total_rows": "1000"},
-    "data[loader=csv][ignored].txt": {"file_name": "data[ignored].txt", "loader": "csv"},
-    "data[loader=csv,invalid,missing_value=abc,bad=pair].txt": {"file_name": "data.txt", "loader": "csv"},
-    "data[loader=csv,keywithoutvalue,=valuewithoutkey].txt": {"file_name": "data.txt", "loader": "csv"},
-    "file_name[total_rows=100].csv": {"file_name": "file_name.csv", "total_rows": "100"},
-    "test[multiple,fields,here].json": {"file_name": "test.json"},
-    None: {}, "": {}, "  ": {},
-    "data[elastic_shards=5,elastic_replicas=2,total_rows=abc].txt": {"file_name": "data.txt", "number_of_shards": 5, "number_of_replicas": 2, "total_rows": "abc"},
-    "data[elastic_shards=x,elastic_replicas=99999999999].txt": {"file_name": "data.txt"},
-    "data[loader=csv.txt": {"file_name": "data[loader=csv.txt"},
-    "a[loader=x,loader=y=z]\nb[]": {"file_name": "a\nb[]", "loader": "y=z"},
+    "notes.md": {"file_name": "notes.md"},
+    FULL: {"file_name": "ledger.tsv"} | dict(zip(FIELDS, ["orc", "42", "entry_no", "ledgers", 6, 2, "K-77", "9e107d9d", "Year End", "annex"])),
+    "q3[Case_ID=B9,MD5=ff].orc": {"file_name": "q3.orc", "case_id": "B9", "md5": "ff"},
+    "q3[\tcase_id  =  B 9  ,\n md5=ff ].orc": {"file_name": "q3.orc", "case_id": "B 9", "md5": "ff"},
+    "q3[md5=aa] (copy)[md5=bb].orc": {"file_name": "q3 (copy)[md5=bb].orc", "md5": "aa"},
+    "q3[note,colour=red,display_name=Q 3,=blue,].orc": {"file_name": "q3.orc", "display_name": "Q 3"},
+    "[total_rows=7]": {"file_name": "", "total_rows": "7"},
+    "plan[a,b].json": {"file_name": "plan.json"},
+    None: {}, "": {}, " \t": {},
+    "logs[total_rows=many,elastic_replicas=0,elastic_shards=12].gz": {"file_name": "logs.gz", "number_of_shards": 12, "number_of_replicas": 0, "total_rows": "many"},
+    "logs[elastic_shards=two,elastic_replicas=3000000000].gz": {"file_name": "logs.gz"},
+    "logs[loader=gz": {"file_name": "logs[loader=gz"},
+    "x[md5=1,md5=2=3]\ny[]": {"file_name": "x\ny[]", "md5": "2=3"},
 }
 
 
