@@ -43,6 +43,8 @@ SCALE_BITS, LANES, CHECK_STEPS, BLOCK_TOKENS, FILE_TOKENS = 20, 1024, 128, 1 <<
 WORDS, PARTS, TOGETHER, SEPARATOR, MARKS = 300_000, 800_000, 128, "~", "#*$%&!.,;:?|<>()"
 _LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]*").fullmatch
 _LOW, _MAGIC = np.uint64(1 << 31), b"TOK1"
+#: Texts on which a vocabulary shows whether it looks across white space, keeps case or treats marks otherwise.
+SAMPLES = ["The Quick brown FOX,  jumps!! over 12.5 lazy dogs' tails.", "a\tb\n\nC d", " leading and trailing ", "Élan Ünder ÑANDÚ straße œuvre", "x~y ~ z", "snake_case CamelCase http://a.b/c?d=e&f", "日本語 текст 한국어 🙂 e\u0301", "word word\u00a0word\u2003word", "(a) [b] {c} <d> 'e' \"f\" #g $h %i &j *k"]
 _HEAD = struct.Struct("<4sIQIIQII")  # magic, documents, ids, lanes, checkpoints, words, CRC of what follows the head, CRC of the ids as u32
 
 
@@ -52,8 +54,9 @@ _HEAD = struct.Struct("<4sIQIIQII")  # magic, documents, ids, lanes, checkpoints
 class Tokens:
     """The library's ids of whole texts, with bounded memos of the ids of words.
 
-    The vocabulary drops white space and never looks across it, so a text's ids
-    are those of its words.  A word of letters and then marks gives the ids of
+    A vocabulary may drop white space and never look across it, so that a text's
+    ids are those of its words; whether it does is tried on ``SAMPLES``, and if
+    not, texts are encoded whole.  A word of letters and then marks gives the ids of
     its letters, in lower case, and those of the marks.  What neither memo has
     is encoded together, with a word between that has one id which nothing else
     can give; words with that character go alone.
@@ -68,6 +71,15 @@ class Tokens:
         self.mark = mark[0] if len(mark) == 1 else None
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {"": b""}
+        self.by_words = True
+        try:
+            self.by_words = self.encode(SAMPLES) == self._whole(SAMPLES)
+        except ValueError:
+            self.by_words = False
+        self.words, self.parts = {}, {"": b""}
+
+    def _whole(self, texts: Iterable[str | None]) -> list[bytes]:
+        return [np.array(ids, self.kind).tobytes() for ids in self._ids([x or "" for x in texts])]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -116,6 +128,8 @@ class Tokens:
         return out
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+        if not self.by_words:
+            return self._whole(texts)
         # Only spaces that the vocabulary surely drops are cut at; others stay inside a "word".
         split = [x.replace("\n", " ").replace("\t", " ").split(" ") if x else [] for x in texts]
         words = list(chain.from_iterable(split))

@@ -63,3 +63,18 @@ def test_files(spark, library, monkeypatch):
     keys = [r[2] for r in got]
     assert keys[:2] == [None, None] and keys[2:] == sorted(keys[2:])
     assert R.round_trip(docs.limit(0)).count() == 0
+
+
+def test_vocabulary_that_looks_across_white_space():
+    """Another vocabulary, of bytes with their spaces and cases, isn't cut at words: its ids are the library's."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    letters = [chr(c) for c in range(33, 127)] + ["\u0120"]
+    vocab = {c: i for i, c in enumerate(letters)} | {"\u0120a": 200, "\u0120b": 201}
+    raw = json.dumps({"version": "1.0", "model": {"type": "BPE", "vocab": vocab, "merges": ["\u0120 a", "\u0120 b"]}, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}})
+    own, library = R.Tokens(raw.encode()), Tokenizer.from_str(raw)
+    assert not own.by_words
+    for text in ("A b a", "b a~B", " a  b"):
+        assert np.frombuffer(own.encode([text])[0], own.kind).tolist() == library.encode(text, add_special_tokens=False).ids
