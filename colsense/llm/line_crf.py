@@ -162,7 +162,7 @@ def fit(rows: np.ndarray, counts: np.ndarray, sizes: np.ndarray, labels: np.ndar
 
         def pull(total: np.ndarray) -> np.ndarray:
             """Return how strongly each document wants the sequence without a bad line: 1 if good, else -q / (1 - q), times ``BAD_WEIGHT``."""
-            return np.where(labels == 1, 1.0, -BAD_WEIGHT / np.expm1(np.maximum(total - best, 1e-6)))
+            return np.where(labels == 1, 1.0, -BAD_WEIGHT / np.expm1(np.clip(total - best, 1e-6, 700)))
 
         good, steps, total = chain.marginals(made, counts, pull)
         weight = pull(total)
@@ -185,10 +185,10 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, view: Callable[[str | None], str | None] | None = None) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, view: Callable[[str | None, int], str | None] | None = None) -> Chain:
     """Fit a chain to ``docs`` (doc_id, text) with ``labels`` (doc_id, quality), without the held-out ids.
 
-    ``view`` makes of a text what is learned from, as texts are scored later.
+    ``view`` makes of a text and its label what is learned from.
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
@@ -198,7 +198,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, view: Callab
     few = joined.select("key").distinct().orderBy("key").limit(sample)
 
     def make(batch: pa.RecordBatch) -> dict:
-        found = [measures(x if view is None else view(x)) for x in batch.column(2).to_pylist()]
+        found = [measures(x if view is None else view(x, q)) for q, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         found = [(r, s) if len(r) <= SAMPLE_LINES else ([], []) for r, s in found]
         return {"key": batch.column(0), "quality": batch.column(1), "rows": [np.array(r, np.float32).tobytes() for r, _ in found], "sizes": [np.array(s, np.int64).tobytes() for _, s in found]}
 

@@ -143,6 +143,11 @@ def cleaned(text: str | None) -> str:
     return judge(text)[-1]
 
 
+def learned(text: str | None, quality: int) -> str | None:
+    """Return what a classifier of cleaned texts learns from: good texts cleaned, bad ones as they are, for what the rules leave of them is mostly clean."""
+    return cleaned(text) if quality else text
+
+
 def evaluate(df: DataFrame, text: str = "text", columns: Iterable[str] | None = None) -> DataFrame:
     """Add the columns of ``ADDED`` (or those named) to ``df``; ``cleaned`` is the text without failing lines."""
     wanted = [(i, n, t) for i, (n, t) in enumerate(ADDED) if columns is None or n in set(columns)]

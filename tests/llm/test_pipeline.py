@@ -34,7 +34,7 @@ def test_stages_against_brute_force(spark):
     key = lambda r: r["doc_id"]
     assert sorted(out["quality rules"], key=key) == sorted(want, key=key) and len(want) < len(rows)
 
-    chain = line_crf.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), view=quality_rules.cleaned)
+    chain = line_crf.train(docs, spark.read.parquet(f"{SF}/labels.parquet"), view=quality_rules.learned)
     want = [r for r, s in zip(want, chain.scores([r["text"] for r in want])) if s >= line_crf.THRESHOLD]
     assert sorted(out["quality classifier"], key=key) == sorted(want, key=key)
 
@@ -103,3 +103,11 @@ def test_odd_rows_through_all_stages(spark, tmp_path):
         got = [r.asDict() for r in corpus_pipeline.run(spark, str(folder)).collect()]
         assert len({r["doc_id"] for r in got}) == len(got)
         assert not got if empty else got and not {9001, 9002} & {r["doc_id"] for r in got}
+
+
+def test_classifier_keeps_clean_documents(spark):
+    """Of the documents labelled good that the rules keep, held out or not, the classifier drops none."""
+    sf = "/root/testdata/sf0.1"
+    good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id").distinct()
+    kept = corpus_pipeline.rules(spark, spark.read.parquet(f"{sf}/documents.parquet").join(good, "doc_id", "left_semi"), sf)
+    assert corpus_pipeline.classified(spark, kept, sf).count() == kept.count() > 3000
