@@ -23,7 +23,8 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -35,13 +36,15 @@ from pyspark.sql import functions as F
 from colsense.llm import _common
 
 SAMPLE, SAMPLE_LINES, ROUNDS, RIDGE, BAD_WEIGHT, THRESHOLD = 4000, 150, 700, 0.01, 4.0, 0.3
+#: Lines whose measures are held at once, and from which on the texts read so far are scored.
+HELD_LINES, SCORED_LINES = 1 << 14, 1 << 19
 MARKS, SEPARATORS, STOPS = "#*$%&<>=~^{}@\\_", "|»›•·", ".,;:!?"
 MEASURES = 13
 
 
-def measures(text: str | None) -> tuple[list[list[float]], list[int]]:
-    """Return the measures and the length of each line of ``text`` that has a word."""
-    rows, sizes, seen = [], [], set()
+def _measured(text: str | None) -> Iterator[tuple[list[float], int]]:
+    """Yield the measures and the length of each line of ``text`` that has a word; without any, of one line without any measure."""
+    seen = set()
     for line in (text or "").split("\n"):
         words = line.split()
         n = len(words)
@@ -49,15 +52,21 @@ def measures(text: str | None) -> tuple[list[list[float]], list[int]]:
             continue
         chars = len(line)
         last = words[-1][-1]
-        rows.append([
+        yield [
             min(2.0, sum(map(line.count, MARKS)) / n), min(1.0, sum(map(line.count, SEPARATORS)) / n), min(2.0, line.count("!") / n),
             sum(map(str.isupper, words)) / n, sum(map(eq, words, words[1:])) / n, len(set(words)) / n, sum(map(str.isdigit, words)) / n,
             1.0 if last in ".!?" else 0.0, min(1.0, sum(map(line.count, STOPS)) / n), min(2.0, chars / n / 10), min(1.0, np.log1p(n) / 6),
             1.0 if line in seen else 0.0, 1.0,
-        ])
-        sizes.append(chars)
+        ], chars
         seen.add(line)
-    return (rows, sizes) if rows else ([[0.0] * MEASURES], [1])
+    if not seen:
+        yield [0.0] * MEASURES, 1
+
+
+def measures(text: str | None) -> tuple[list[list[float]], list[int]]:
+    """Return the measures and the length of each line of ``text`` that has a word."""
+    rows, sizes = zip(*_measured(text))
+    return list(rows), list(sizes)
 
 
 def features(rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -83,13 +92,10 @@ class Chain:
         """Return each document's log weight of the sequence without a bad line."""
         return np.add.reduceat(made @ self.weight, np.cumsum(counts) - counts) + (counts - 1) * self.step[1, 1]
 
-    def marginals(self, made: np.ndarray, counts: np.ndarray, steps_of: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Return each line's probability of good, expected steps summed over all, and each document's log partition.
-
-        ``steps_of`` gives, from the log partitions, a weight for each document's steps.
-        """
-        unary = np.zeros((len(made), 2))
-        unary[:, 1] = made @ self.weight
+    def _passes(self, weights: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Return each line's log weights of bad and good, from that of good, both passes' sums and each document's log partition."""
+        unary = np.zeros((len(weights), 2))
+        unary[:, 1] = weights
         order = np.argsort(-counts, kind="stable")
         starts = (np.cumsum(counts) - counts)[order]
         long = counts[order]
@@ -108,8 +114,21 @@ class Chain:
                 backward[at, of] = np.logaddexp(new[:, 0] + self.step[of, 0], new[:, 1] + self.step[of, 1])
         ends = np.cumsum(counts) - 1
         total = np.logaddexp(forward[ends, 0], forward[ends, 1]) if len(counts) else np.zeros(0)
+        return unary, forward, backward, total
+
+    @staticmethod
+    def _good(forward: np.ndarray, backward: np.ndarray) -> np.ndarray:
         joint = forward + backward
-        good = 1 / (1 + np.exp(np.clip(joint[:, 0] - joint[:, 1], -700, 700)))
+        return 1 / (1 + np.exp(np.clip(joint[:, 0] - joint[:, 1], -700, 700)))
+
+    def marginals(self, made: np.ndarray, counts: np.ndarray, steps_of: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Return each line's probability of good, expected steps summed over all, and each document's log partition.
+
+        ``steps_of`` gives, from the log partitions, a weight for each document's steps.
+        """
+        unary, forward, backward, total = self._passes(made @ self.weight, counts)
+        good = self._good(forward, backward)
+        ends = np.cumsum(counts) - 1
         steps = np.zeros((2, 2))
         inner = np.ones(len(made), bool)
         inner[ends] = False
@@ -123,21 +142,36 @@ class Chain:
 
     def mean(self, made: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Return each document's mean probability of good, weighted by line length."""
-        if not len(counts):
-            return np.zeros(0)
-        good = self.marginals(made, counts)[0]
+        return self._mean(made @ self.weight, counts, sizes) if len(counts) else np.zeros(0)
+
+    def _mean(self, weights: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        _, forward, backward, _ = self._passes(weights, counts)
         starts = np.cumsum(counts) - counts
-        return np.add.reduceat(good * sizes, starts) / np.add.reduceat(sizes.astype(float), starts)
+        return np.add.reduceat(self._good(forward, backward) * sizes, starts) / np.add.reduceat(sizes.astype(float), starts)
+
+    def _weighed(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Return the log weight of good and the length of each line of ``text``; measures are held for ``HELD_LINES`` lines at most."""
+        lines, parts, sizes = _measured(text), [], []
+        while held := list(itertools.islice(lines, HELD_LINES)):
+            parts.append(np.array([r for r, _ in held]) @ self.weight.reshape(3, MEASURES).T)
+            sizes.append(np.array([n for _, n in held]))
+        own, before, after = np.concatenate(parts).T
+        weights = own.copy()
+        weights[1:] += before[:-1]
+        weights[:-1] += after[1:]
+        return weights, np.concatenate(sizes)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """Return the score of each text."""
-        made = [measures(x) for x in texts]
-        if not made:
-            return np.zeros(0)
-        counts = np.array([len(r) for r, _ in made])
-        rows = np.array([x for r, _ in made for x in r])
-        sizes = np.array([x for _, s in made for x in s])
-        return _logistic(self.slope * _logit(self.mean(features(rows, counts), counts, sizes)) + self.offset)
+        """Return the score of each text; memory follows ``SCORED_LINES`` and the longest text, not the lines of all."""
+        means, held, lines = [np.zeros(0)], [], 0
+        for k, text in enumerate(texts):
+            held.append(self._weighed(text))
+            lines += len(held[-1][1])
+            if lines >= SCORED_LINES or k + 1 == len(texts):
+                counts = np.array([len(n) for _, n in held])
+                means.append(self._mean(np.concatenate([w for w, _ in held]), counts, np.concatenate([n for _, n in held])))
+                held, lines = [], 0
+        return _logistic(self.slope * _logit(np.concatenate(means)) + self.offset)
 
 
 def _logit(p: np.ndarray) -> np.ndarray:

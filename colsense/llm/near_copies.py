@@ -20,7 +20,8 @@ under rare shingles instead:
    steps is a cluster.  Clusters that still hold members of different
    components are compared again, together with the whole sets, so that only
    links go out: members outside a cluster's largest component against all.  A
-   cluster of more than ``LARGE`` sets is dealt into pairs of chunks.
+   cluster of more than ``LARGE`` sets, or ``LARGE_VALUES`` hashes in them, is
+   dealt into pairs of chunks, so that a task's memory has a bound.
 
 Every link is exact, and what is written grows with the input, not with the
 square of a group.  A pair is missed only if its fingerprints differ in more than ``RADIUS`` bits, which for
@@ -43,9 +44,9 @@ from pyspark.sql import functions as F
 
 from colsense.llm import _common, _components, simhash
 
-SEED, SHINGLE, RADIUS, PAIRS, LARGE = 42, 5, 20, 64, 8192
+SEED, SHINGLE, RADIUS, PAIRS, LARGE, LARGE_VALUES = 42, 5, 20, 64, 8192, 1 << 24
 SAMPLE, SAMPLE_CHARS, COMMON = 4000, 10_000, 50_000
-TILE, HELD, SALTS, MAP_BYTES = 256, 1 << 16, 16, 32 << 20
+TILE, HELD, SALTS, MAP_BYTES, VALUES = 256, 1 << 16, 16, 32 << 20, 1 << 22
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -276,20 +277,31 @@ def _first_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _overlaps(lists: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Return how many values sets i and j of ``lists`` (sorted, distinct) share, for each pair, by bit maps of bounded size."""
+    """Return how many values sets i and j of ``lists`` (int32, sorted, distinct) share, for each pair, by ranges of some ``VALUES`` values."""
     rows, places = np.unique(np.r_[i, j], return_inverse=True)
     i, j = places[: len(i)], places[len(i) :]
-    owner = np.repeat(np.arange(len(rows)), [len(lists[r]) for r in rows])
-    _, value, counts = np.unique(np.concatenate([lists[r] for r in rows]), return_inverse=True, return_counts=True)
+    own = [lists[r] for r in rows]
+    cuts = np.linspace(-(1 << 31), 1 << 31, 2 + sum(map(len, own)) // VALUES).astype(np.int64)
+    ends = [np.searchsorted(x, cuts) for x in own]
+    both = np.zeros(len(i), np.int64)
+    for k in range(len(cuts) - 1):
+        both += _shared([x[e[k] : e[k + 1]] for x, e in zip(own, ends)], i, j)
+    return both
+
+
+def _shared(lists: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Return how many values sets i and j of ``lists`` share, for each pair, by bit maps of bounded size."""
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    _, value, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
     number = np.cumsum(counts > 1) - 1  # values of one set only can't be shared
     some = counts[value] > 1
     owner, value = owner[some], number[value[some]]
     order = np.argsort(value, kind="stable")
     owner, value = owner[order], value[order]
-    both, width = np.zeros(len(i), np.int64), max(64, (MAP_BYTES // len(rows)) // 64 * 64)
+    both, width = np.zeros(len(i), np.int64), max(64, (MAP_BYTES // len(lists)) // 64 * 64)
     for low in range(0, int(value[-1]) + 1 if len(value) else 0, width):
         at, to = np.searchsorted(value, [low, low + width])
-        bits = np.zeros((len(rows), min(width, -(-(int(value[to - 1]) + 1 - low) // 64) * 64)), bool)
+        bits = np.zeros((len(lists), min(width, -(-(int(value[to - 1]) + 1 - low) // 64) * 64)), bool)
         bits[owner[at:to], value[at:to] - low] = True
         maps = np.packbits(bits, axis=1).view(np.uint64)
         step = max(1, MAP_BYTES // (8 * maps.shape[1]))
@@ -411,10 +423,13 @@ def roots(docs: DataFrame, marks: DataFrame, size: int = SHINGLE) -> DataFrame:
         return found
     left_open = _common.written(_common.hot_join(rows, blocks, "cluster"), "open")
     sets = _sets(docs, marks, left_open.select("node"), size)
-    left = left_open.withColumn("side", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    sizes = left_open.join(sets.select("node", F.shiftright("mark", 32).alias("size")), "node").groupBy("cluster").agg(F.max("chunks").alias("chunks"), F.sum("size").alias("values"))
+    sizes = _common.written(sizes.select("cluster", F.greatest("chunks", F.ceil(F.col("values") / LARGE_VALUES).cast("int")).alias("chunks")), "blocks")
+    left = _common.hot_join(left_open.drop("chunks"), sizes, "cluster")
+    left = left.withColumn("side", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     left = left.select("cluster", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "node", "tree").join(sets, "node")
     more = _common.written(_inner_links(left.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b")), "links")
-    _common.discard(first, held, rows, blocks, left_open, sets)
+    _common.discard(first, held, rows, blocks, sizes, left_open, sets)
     return found if more.isEmpty() else _components.components(links.unionAll(more))
 
 

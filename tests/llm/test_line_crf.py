@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -108,3 +109,20 @@ def test_one_id_in_a_third_of_the_rows(spark):
     finally:
         C.fit = fit
     assert seen and seen[0] <= 500
+
+
+def test_scoring_holds_few_lines():
+    """A batch of texts of very many short lines is scored in bounded memory, each as alone."""
+    rng = np.random.default_rng(0)
+    chain = C.Chain(rng.normal(size=3 * C.MEASURES), rng.normal(size=(2, 2)), 0.7, 0.2)
+    texts = [None, "", CLEAN, JUNK] + ["\n".join(f"w{k}x{i}." for i in range(20_000)) for k in range(10)]
+    tracemalloc.start()
+    got = chain.scores(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 * 200_000
+    for text, score in [*zip(texts[:5], got), (texts[-1], got[-1])]:
+        rows, sizes = C.measures(text)
+        made = C.features(np.array(rows), np.array([len(rows)]))
+        mean = chain.mean(made, np.array([len(rows)]), np.array(sizes))
+        assert np.allclose(score, C._logistic(chain.slope * C._logit(mean) + chain.offset))

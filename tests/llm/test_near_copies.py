@@ -1,8 +1,11 @@
 import random
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+
 import corpus_pipeline
-from colsense.llm import simhash
+from colsense.llm import near_copies, simhash
 
 
 def plain_set(text):
@@ -54,3 +57,41 @@ def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted(r.doc_id for r in corpus_pipeline.unique(spark, docs, None).collect())
     assert got == plain_heads([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_overlaps_in_bounded_memory():
+    """Sets of long texts are compared in less memory than several times their own size."""
+    rng = np.random.default_rng(0)
+    base = rng.integers(-(2**31), 2**31, 20_000).astype(np.int32)
+    lists = [np.unique(np.r_[base[rng.random(len(base)) < 0.9], np.int32([-(2**31), 2**31 - 1])]) for _ in range(800)]
+    i, j = np.arange(799), np.arange(1, 800)
+    tracemalloc.start()
+    got = near_copies._overlaps(lists, i, j)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [len(np.intersect1d(lists[a], lists[b])) for a, b in zip(i, j)]
+    assert peak < 4 * sum(x.nbytes for x in lists)
+
+
+def test_cluster_is_dealt_by_the_size_of_its_sets(spark, monkeypatch):
+    """A few sets of many values are dealt into chunks too, and no link is lost."""
+    rng = random.Random(5)
+    words = ["w%d" % i for i in range(3000)]
+    base, rows = rng.choices(words, k=300), []
+    for key in range(80):
+        mine = list(base)
+        for _ in range(rng.randint(2, 5)):
+            mine[rng.randrange(len(mine))] = rng.choice(words)
+        rows.append((key, " ".join(mine)))
+    pairs, plain = [], near_copies._inner_links
+
+    def spied(table):
+        pairs.append({(r.a, r.b) for r in table.select("a", "b").distinct().collect()})
+        return plain(table)
+
+    monkeypatch.setattr(near_copies, "_inner_links", spied)
+    monkeypatch.setattr(near_copies, "LARGE_VALUES", 5000)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(r.doc_id for r in corpus_pipeline.unique(spark, docs, None).collect())
+    assert got == plain_heads(rows)
+    assert any((0, 1) in x for x in pairs)
