@@ -10,7 +10,8 @@ under rare shingles instead:
 2. All sets are put in one order, frequent shingles last.  Two sets whose
    similarity reaches 4/5 share a shingle among the first ``n - ceil(4n/5) + 1``
    of each, so a set is filed under these.  How frequent a shingle is, is
-   estimated from a sample: any order gives the same pairs.
+   counted over every whole text, in ``BUCKETS`` buckets of hashes; shingles of
+   one bucket go by hash.  Any order gives the same pairs.
 3. Blocks go through ``simhash.links`` (bit planes, carry-save counters) with
    ``RADIUS``; pairs whose sizes can't reach 4/5 are left out.  A block with
    more than ``PAIRS`` pairs gives one for each member: the neighbour nearest to
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 from colsense.llm import _common, _components, simhash
 
 SEED, SHINGLE, RADIUS, PAIRS, LARGE, LARGE_VALUES = 42, 5, 20, 64, 8192, 1 << 24
-SAMPLE, SAMPLE_CHARS, COMMON = 4000, 10_000, 50_000
+BUCKETS, SLICE = 1 << 18, 1 << 10
 TILE, HELD, SALTS, MAP_BYTES, VALUES = 256, 1 << 16, 16, 32 << 20, 1 << 22
 
 
@@ -71,22 +72,44 @@ def _mixed(fp: np.ndarray, mark: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(31))).view(np.int64)
 
 
-def _common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Return (hashes, sorted; counts) of shingles that several texts of a sample hold; they only order the shingles."""
+def _buckets(own: np.ndarray) -> np.ndarray:
+    return (own & np.uint64(BUCKETS - 1)).astype(np.int64)
 
-    def make(batches):
+
+def _frequencies(docs: DataFrame, size: int) -> np.ndarray:
+    """Return how many shingles of the texts of all rows, each text's distinct, lie in each of ``BUCKETS`` buckets."""
+
+    def tally(batches):
+        total, parts, held = np.zeros(BUCKETS, np.int64), [], 0
+        for last, batch in _with_last(batches):
+            for text in [] if last else batch.column(0).to_pylist():
+                parts.append(_buckets(shingles(text, size)))
+                held += len(parts[-1])
+                if held >= 4 * BUCKETS:
+                    total += np.bincount(np.concatenate(parts), minlength=BUCKETS)
+                    parts, held = [], 0
+        if parts:
+            total += np.bincount(np.concatenate(parts), minlength=BUCKETS)
+        if total.any():
+            yield slices(dict(enumerate(total.reshape(-1, SLICE))))
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.record_batch([pa.array(shingles(text, size).view(np.int64))], names=["gram"])
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.int64)
+        if sums:
+            yield slices(sums)
+
+    def slices(found):
+        return pa.record_batch([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["slice", "counts"])
 
     _common.bound_batches(docs.sparkSession)
-    every = max(1, docs.count() // SAMPLE)
-    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).distinct()
-    counted = sample.mapInArrow(make, "gram bigint").groupBy("gram").count().filter("count > 2")
-    rows = counted.orderBy(F.desc("count"), "gram").limit(COMMON).collect()
-    grams, counts = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
-    order = np.argsort(grams)
-    return grams[order], counts[order]
+    kind = "slice int, counts binary"
+    out = np.zeros((BUCKETS // SLICE, SLICE), np.int64)
+    for row in docs.select("text").mapInArrow(tally, kind).repartition("slice").mapInArrow(add, kind).collect():
+        out[row.slice] = np.frombuffer(row["counts"], np.int64)
+    return out.ravel()
 
 
 def _numbers(own: np.ndarray, text: str | None) -> tuple[int, int]:
@@ -99,20 +122,13 @@ def _numbers(own: np.ndarray, text: str | None) -> tuple[int, int]:
 
 def marked(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """Return doc_id, digest (of the text), node (of the set), fp, mark and prefix (hashes in the common order) of each row."""
-    known, counts = _common_shingles(docs, size)
+    often = _frequencies(docs, size)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def one(text):
         own = shingles(text, size)
-        often = np.zeros(len(own), np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            often = np.where(known[at] == own, counts[at], 0)
         prefix = len(own) + (-4 * len(own)) // 5 + 1
-        if often.any():
-            own_first = own[np.lexsort((own, often))[:prefix]]
-        else:
-            own_first = own[:prefix]
+        own_first = own[np.lexsort((own, often[_buckets(own)]))[:prefix]]
         return *_numbers(own, text), own_first.view(np.int64)
 
     def make(batch: pa.RecordBatch) -> dict:

@@ -95,3 +95,16 @@ def test_cluster_is_dealt_by_the_size_of_its_sets(spark, monkeypatch):
     got = sorted(r.doc_id for r in corpus_pipeline.unique(spark, docs, None).collect())
     assert got == plain_heads(rows)
     assert any((0, 1) in x for x in pairs)
+
+
+def test_every_shingle_of_every_text_is_counted(spark):
+    """A passage that many texts hold far from their start comes last in the order, in whatever rows it lies."""
+    passage = " ".join(f"shared{i}" for i in range(100))
+    rows = [(k, " ".join(f"own{k}word{i}" for i in range(1500)) + " " + passage) for k in range(40)] + [(100, None), (101, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    common = set(near_copies.shingles(passage).view(np.int64).tolist())
+    for row in near_copies.marked(docs).filter("doc_id < 40").collect():
+        assert len(row.prefix) == 320 and not common & set(row.prefix)
+    want = sum(len(near_copies.shingles(text)) for _, text in rows)
+    assert near_copies._frequencies(docs, 5).sum() == want
+    assert not near_copies._frequencies(docs.limit(0), 5).any()
