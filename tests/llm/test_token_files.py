@@ -78,3 +78,56 @@ def test_vocabulary_that_looks_across_white_space():
     assert not own.by_words
     for text in ("A b a", "b a~B", " a  b"):
         assert np.frombuffer(own.encode([text])[0], own.kind).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_a_batch_looks_up_each_different_word_once(library):
+    """Lookups, and words that the library is asked for, go by different words, not by all words; the memos stay bounded."""
+
+    class Counted(dict):
+        lookups = 0
+
+        def get(self, *args):
+            Counted.lookups += 1
+            return super().get(*args)
+
+    made = R.Tokens(open(VOCABULARY, "rb").read())
+    made.words, made.parts = Counted(), Counted()
+    texts = ["The cat, the dog and 7 \u00e9l\u00e8ves. " * 500, None, "", "a~b the"] * 3
+    got = [np.frombuffer(x, made.kind).tolist() for x in made.encode(texts)]
+    assert got == [library.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert Counted.lookups <= 24
+
+
+def test_memos_are_bounded_within_a_batch(library, monkeypatch):
+    monkeypatch.setattr(R, "WORDS", 10)
+    monkeypatch.setattr(R, "PARTS", 10)
+    made = R.Tokens(open(VOCABULARY, "rb").read())
+    texts = [" ".join(f"w{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}! {i}x" for i in range(100))]
+    for _ in range(2):
+        assert np.frombuffer(made.encode(texts)[0], made.kind).tolist() == library.encode(texts[0], add_special_tokens=False).ids
+        assert len(made.words) <= 10 and len(made.parts) <= 10
+
+
+@pytest.mark.parametrize("kind", ["string", "large_string"])
+def test_column_of_texts(library, kind):
+    """Ids lie in a row and each text's end is given, for any slice of a column, an empty one and one of nulls only."""
+    import pyarrow as pa
+
+    made = R.Tokens(open(VOCABULARY, "rb").read())
+    column = pa.array(ODD, kind)
+    for texts in (column, column.slice(3, 5), column.slice(2, 0), pa.array([None, None], kind), pa.array([""], kind)):
+        want = [library.encode(x or "", add_special_tokens=False).ids for x in texts.to_pylist()]
+        ids, ends = made.encode_column(texts)
+        assert ids.tolist() == sum(want, []) and ends.tolist() == np.cumsum([len(x) for x in want], dtype=int).tolist()
+
+
+def test_normaliser_that_changes_letters():
+    """A vocabulary that drops accents keeps its normaliser for letters too."""
+    import json
+
+    raw = json.loads(open(VOCABULARY).read())
+    raw["normalizer"]["normalizers"] = [{"type": "NFD"}, {"type": "StripAccents"}, {"type": "Lowercase"}]
+    raw = json.dumps(raw)
+    own, library = R.Tokens(raw.encode()), Tokenizer.from_str(raw)
+    for text in ("\u00c9lan \u00c9lan! na\u00efve \u00dcber", "plain words, 12 of them"):
+        assert np.frombuffer(own.encode([text])[0], own.kind).tolist() == library.encode(text, add_special_tokens=False).ids
